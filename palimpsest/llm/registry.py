@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import curves, langid, mixing, urls
+from . import curves, langid, lines, mixing, simhash, substrings, urls
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_nearest_vectors": curves.op2_nearest_vectors,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op5_language_id": langid.op5_language_id,
     "op6_url_filter": urls.op6_url_filter,
+    "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
 }
 
 SQL = {
