@@ -102,11 +102,11 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end, int(begin[end])
 
 
-def _matches(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = b.column(0).to_pylist()
-        found: list[tuple] = []
-        for a, _, buf, off in chunks(b.column(1)) if len(items.ids) else ():
+def find(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """(item, text, start, words, distance) of the items' runs in the texts."""
+    found: list[tuple] = []
+    if len(items.ids):
+        for a, _, buf, off in chunks(texts):
             words = Words(buf, off, True, _SEPARATORS)
             h = words.hashes()
             starts, whose = [], []
@@ -146,7 +146,14 @@ def _matches(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Rec
                     far, end, begin = align(items.words[i], h[lo:hi])
                     if far <= e:
                         done = (d, i, x)
-                        found.append((items.ids[i], ids[a + d], lo + begin - int(words.first[d]), end - begin, far, 1 - far / int(items.n[i])))
+                        found.append((i, a + d, lo + begin - int(words.first[d]), end - begin, far))
+    return found
+
+
+def _matches(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = b.column(0).to_pylist()
+        found = [(items.ids[i], ids[d], start, size, far, 1 - far / int(items.n[i])) for i, d, start, size, far in find(b.column(1), items)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["item_id", "_id", "start", "words", "distance", "similarity"])
 
@@ -166,6 +173,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out.groupBy("item_id", "_id").agg(best).select("item_id", "_id", "b.start", "b.words", "b.distance", "b.similarity")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents into which no item has leaked, with all their columns; nothing is shuffled."""
+    def clean(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[x[1] for x in find(b.column(b.schema.get_field_index(text_col)), items)]] = False
+            yield b.filter(pa.array(keep))
+
+    items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text)).toLocalIterator()
+    while block := list(islice(items, BLOCK)):
+        docs = docs.mapInArrow(functools.partial(clean, items=Items([r[0] for r in block], [r[1] for r in block])), docs.schema)
+    return docs
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
     return out.withColumnRenamed("_id", "doc_id")

@@ -95,9 +95,10 @@ class Tree:
             d = (value ^ x).bit_count()
             if d <= radius:
                 found.append(value)
-            for e in range(max(1, d - radius), d + radius + 1):
-                if e in children:
-                    todo.append(children[e])
+            if len(children) <= 2 * radius:
+                todo.extend(c for e, c in children.items() if -radius <= e - d <= radius)
+            else:
+                todo.extend(children[e] for e in range(max(1, d - radius), d + radius + 1) if e in children)
         return found
 
 

@@ -1,8 +1,7 @@
 """Toxicity by nearest labelled examples.
 
 Examples are at most EXAMPLES labelled rows, those whose ids have the smallest hashes. A text's terms are its words
-(runs of letters, A-Z lower-cased) and the first 4 and 5 bytes of longer ones, so that unseen forms of a known stem
-count. The vocabulary is what the examples' labels speak for or against: terms in MIN_ROWS examples or more whose
+(runs of letters, lower-cased) and the first PREFIXES bytes of longer ones, so that unseen forms of a known stem count. The vocabulary is what the examples' labels speak for or against: terms in MIN_ROWS examples or more whose
 log-likelihood ratio with the label is at least LEAST_RATIO.
 
 An example's vector is its TF-IDF over the vocabulary, of unit length. For every whole text the NEIGHBOURS examples of
@@ -23,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +30,7 @@ from .core import Words, _BYTES, _FOLDED, chunks, cut, mix
 
 EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 15, 64
 MIN_ROWS, LEAST_RATIO, PRIOR = 3, 12.0, 0.5
+PREFIXES = range(3, 11)
 THRESHOLD = 0.7
 _NOT_LETTERS = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
 
@@ -44,12 +45,12 @@ def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     np.cumsum(_FOLDED[buf] * up[: len(buf)], out=total[1:])
     size = words.ends - words.starts
     all_docs, all_terms = [], []
-    for k, salt in ((None, 1), (4, 2), (5, 3)):
-        own = np.arange(n) if k is None else np.flatnonzero(size > k)
+    for k in (0, *PREFIXES):
+        own = np.flatnonzero(size > k)
         s = words.starts[own]
-        e = words.ends[own] if k is None else s + k
+        e = s + k if k else words.ends[own]
         all_docs.append(doc[own])
-        all_terms.append(mix((total[e] - total[s]) * down[s] + np.uint64(salt)))
+        all_terms.append(mix((total[e] - total[s]) * down[s] + np.uint64(k)))
     doc, term = np.concatenate(all_docs), np.concatenate(all_terms)
     order = np.lexsort((term, doc))
     doc, term = doc[order], term[order]
@@ -61,7 +62,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, rows, toxic) over a task's examples (text, toxic)."""
     for b in batches:
         label = b.column(1).to_numpy(zero_copy_only=False)
-        parts = [(t, label[a + d]) for a, _, buf, off in chunks(b.column(0)) for d, t, _ in [terms(buf, off)]]
+        parts = [(t, label[a + d]) for a, _, buf, off in chunks(pc.utf8_lower(b.column(0))) for d, t, _ in [terms(buf, off)]]
         if parts:
             t, y = (np.concatenate(x) for x in zip(*parts, strict=True))
             u, at = np.unique(t, return_inverse=True)
@@ -71,7 +72,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(_id, toxic, terms, counts) of examples (text, toxic, _id), over the sorted vocabulary."""
     for b in batches:
-        for a, e, buf, off in chunks(b.column(0)):
+        for a, e, buf, off in chunks(pc.utf8_lower(b.column(0))):
             d, t, n = terms(buf, off)
             i, hit = _look(vocabulary, t)
             d, i, n = d[hit], i[hit], n[hit]
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _score(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for b in batches:
         scores, near = [], []
-        for a, e, buf, off in chunks(b.column(1)):
+        for a, e, buf, off in chunks(pc.utf8_lower(b.column(1))):
             d, t, n = terms(buf, off)
             i, hit = _look(index.vocabulary, t)
             d, i, n = d[hit], i[hit], n[hit].astype(np.float64)
