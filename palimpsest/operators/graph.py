@@ -171,7 +171,7 @@ def scenic_or_shortest(edges: DataFrame, start: int, end: int, rounds: int, most
     short = route(edges, start, end, rounds)
     nice = route(edges.select("u", "v", F.col("scenic").alias("w")), start, end, rounds)
     step = Window.orderBy("step")
-    legs = nice.withColumn("u", F.lag("node").over(step)).join(edges, (F.col("u") == edges["u"]) & (F.col("node") == edges["v"])).agg(F.sum("w")).first()[0]
+    legs = nice.select(F.lag("node").over(step).alias("_from"), F.col("node").alias("_to")).join(edges, (F.col("_from") == F.col("u")) & (F.col("_to") == F.col("v"))).agg(F.sum("w")).first()[0]
     least = short.agg(F.max("cost")).first()[0]
     return ("scenic", nice) if legs is not None and least is not None and legs <= most * least else ("shortest", short)
 

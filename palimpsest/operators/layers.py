@@ -17,12 +17,12 @@ def resolve_files(files: DataFrame, replaced: DataFrame | None = None) -> DataFr
     out = files.withColumn("_best", F.min(F.struct("source_rank", "source_name")).over(w))
     lost = F.col("source_rank") > F.col("_best.source_rank")
     if replaced is not None:
-        parts = F.split("rel_path", "/")
+        parts = F.split("_path", "/")
         folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-        keyed = files.select("rel_path", "source_rank").distinct().select("rel_path", F.col("source_rank").alias("_rank"), F.explode(folders).alias("prefix"))
+        keyed = files.select(F.col("rel_path").alias("_path"), F.col("source_rank").alias("_rank")).distinct().select("_path", "_rank", F.explode(folders).alias("prefix"))
         rule = replaced.select(F.rtrim(F.regexp_replace("prefix", "/+$", "")).alias("prefix"), F.col("source_name").alias("_by"), F.col("source_rank").alias("_by_rank"))
-        hit = keyed.join(rule, "prefix").where("_by_rank < _rank").groupBy("rel_path", "_rank").agg(F.min(F.struct("_by_rank", F.length("prefix").alias("n"), "prefix", "_by")).alias("_rule"))
-        out = out.join(hit, (out["rel_path"] == hit["rel_path"]) & (out["source_rank"] == hit["_rank"]), "left").drop(hit["rel_path"]).drop("_rank")
+        hit = keyed.join(rule, "prefix").where("_by_rank < _rank").groupBy("_path", "_rank").agg(F.min(F.struct("_by_rank", F.length("prefix").alias("n"), "prefix", "_by")).alias("_rule"))
+        out = out.join(hit, (F.col("rel_path") == F.col("_path")) & (F.col("source_rank") == F.col("_rank")), "left").drop("_path", "_rank")
     else:
         out = out.withColumn("_rule", F.lit(None).cast("struct<_by_rank:int,n:int,prefix:string,_by:string>"))
     swept = ~lost & F.col("_rule").isNotNull()

@@ -22,8 +22,8 @@ FROM g
 """)
 def layer_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    ranks = docs.select("source").distinct().withColumn("source_rank", F.row_number().over(Window.orderBy(F.asc_nulls_first("source"))))
-    per = docs.join(small(ranks), docs["source"].eqNullSafe(ranks["source"])).drop(ranks["source"]).groupBy("lang", "source_rank").agg(F.count(F.lit(1)).alias("n"))
+    ranks = docs.select(F.col("source").alias("_source")).distinct().withColumn("source_rank", F.row_number().over(Window.orderBy(F.asc_nulls_first("_source"))))
+    per = docs.join(small(ranks), F.col("source").eqNullSafe(F.col("_source"))).groupBy("lang", "source_rank").agg(F.count(F.lit(1)).alias("n"))
     best = per.groupBy("lang").agg(F.sum("n").alias("definitions"), F.min_by("n", "source_rank").alias("top_rows"))
     status = F.when(F.col("definitions") == 1, "unique").when(F.col("top_rows") == 1, "source_priority").otherwise("ambiguous")
     return best.select("lang", "definitions", (F.col("top_rows") == 1).cast("long").alias("active_count"), status.alias("group_status"), "top_rows")

@@ -100,7 +100,7 @@ def blocked(files: DataFrame, text: str = "text") -> DataFrame:
 
 def engine_log(files: DataFrame, text: str = "text") -> DataFrame:
     """(name, facts) of log entries set apart by lines of dashes: the first line names the entry (up to ` - `), `Key: value` lines describe it."""
-    entries = files.select(F.explode(F.split(text, r"(?m)^-{5,}\s*$")).alias("e")).select(F.trim("e").alias("e")).where("e <> ''")
+    entries = files.select(F.explode(F.split(text, r"(?m)^-{5,}\s*$")).alias("e")).select(F.regexp_replace("e", r"^\s+|\s+$", "").alias("e")).where("e <> ''")
     lines = F.split("e", r"\r?\n")
     facts = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.struct(F.regexp_extract(x, r"^([A-Z][\w ]*):", 1).alias("key"), F.trim(F.regexp_extract(x, r"^[A-Z][\w ]*:(.*)$", 1)).alias("value"))), lambda s: s["key"] != "")
     return entries.select(F.trim(F.split_part(lines[0], F.lit(" - "), F.lit(1))).alias("name"), facts.alias("facts"))
