@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .core import Words, chunks, mix, shingles, within
@@ -60,12 +60,18 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple
     return chosen, piece[chosen]
 
 
-def _lists(docs: np.ndarray, values: np.ndarray, kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
-    """Of (doc, value) pairs, each document with the list of its values."""
+def _lists(docs: np.ndarray, values: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Of (doc, value) pairs, each document with its values, packed. (Spark takes many times longer to send null lists to Python than null bytes.)"""
     order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], values[order]
+    docs, values = docs[order], np.ascontiguousarray(values[order])
     at = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, np.int64)
-    return pa.array(docs[at], pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[at, len(docs)], pa.int32()), pa.array(values, kind))
+    ends = (np.r_[at, len(docs)] * values.itemsize).astype(np.int32)
+    return pa.array(docs[at], pa.int64()), pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
+def _joined(parts: str) -> Column:
+    """One packed list of a group's."""
+    return F.aggregate(F.collect_list(parts), F.lit(b""), lambda a, x: F.concat(a, x))
 
 
 def _ids(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +93,9 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -
         lead = np.r_[True, h[1:] != h[:-1]]
         many = ~lead | np.r_[~lead[1:], False]
         one, sent = pa.array(h[lead].view(np.int64)), pa.array(doc[lead])
-        yield pa.RecordBatch.from_arrays([one, one, sent, pa.nulls(len(one), pa.list_(pa.int64()))], ["key", "h", "doc", "hs"])
+        yield pa.RecordBatch.from_arrays([one, one, sent, pa.nulls(len(one), pa.binary())], ["key", "h", "doc", "hs"])
         if many.any():
-            d, hs = _lists(doc[many], h[many].view(np.int64), pa.int64())
+            d, hs = _lists(doc[many], h[many])
             yield pa.RecordBatch.from_arrays([pa.array(mix(d.to_numpy().view(np.uint64)).view(np.int64)), pa.nulls(len(d), pa.int64()), d, hs], ["key", "h", "doc", "hs"])
 
     for b in batches:
@@ -126,10 +132,10 @@ def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         seen[1:] |= same
         last = (int(h[-1]), int(doc[-1]), bool(seen[-1]))
         seen[:-1] |= same
-        d, hs = _lists(doc[:-1][seen[:-1]], h[:-1][seen[:-1]], pa.int64())
+        d, hs = _lists(doc[:-1][seen[:-1]], h[:-1][seen[:-1]])
         yield pa.RecordBatch.from_arrays([d, hs], ["doc", "hs"])
     if last and last[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([[last[0]]], pa.list_(pa.int64()))], ["doc", "hs"])
+        yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([np.int64(last[0]).tobytes()], pa.binary())], ["doc", "hs"])
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
@@ -146,17 +152,15 @@ def _send_windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -
         least = doc[np.flatnonzero(lead)][np.cumsum(lead) - 1] if len(h) else doc
         own = doc == least
         n = int(own.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(h[own].view(np.int64)), pa.array(check[own]), pa.array(doc[own]), pa.array(pos[own]), pa.nulls(n, pa.list_(pa.int32()))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(h[own].view(np.int64)), pa.array(check[own]), pa.array(doc[own]), pa.array(pos[own]), pa.nulls(n, pa.binary())], names)
         if n < len(h):
-            d, marked = _lists(doc[~own], pos[~own], pa.int32())
+            d, marked = _lists(doc[~own], pos[~own])
             m = len(d)
             yield pa.RecordBatch.from_arrays([pa.array(mix(d.to_numpy().view(np.uint64)).view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), d, pa.nulls(m, pa.int32()), marked], names)
 
     for b in batches:
         ids, known = _ids(b.column(0))
         matched = b.column(2)
-        off_h = matched.offsets.to_numpy()
-        all_h = matched.values.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
         wanted = np.asarray(matched.is_valid()) & known
         for a, e, buf, off in chunks(b.column(1)):
             if not wanted[a:e].any():
@@ -168,7 +172,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -
             hit = np.zeros(len(at), bool)
             for i in np.unique(doc[wanted[doc]]):
                 lo, hi = np.searchsorted(doc, [i, i + 1])
-                hit[lo:hi] = np.isin(h[lo:hi], all_h[off_h[i] : off_h[i + 1]])
+                hit[lo:hi] = np.isin(h[lo:hi], np.frombuffer(matched[i].as_py(), np.uint64))
             cover = np.zeros(len(wh) + window + 1, np.int64)
             np.add.at(cover, np.maximum(at[hit] - (window - anchor), 0), 1)
             np.add.at(cover, at[hit] + 1, -1)
@@ -205,7 +209,7 @@ def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         source = source[np.cumsum(lead) - 1]
         last = (h[-1], check[-1], source[-1])
         more = doc > source
-        d, marked = _lists(doc[more], pos[more], pa.int32())
+        d, marked = _lists(doc[more], pos[more])
         yield pa.RecordBatch.from_arrays([d, marked], ["doc", "marked"])
 
 
@@ -221,7 +225,6 @@ def _apply(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
     for b in batches:
         text, marked, copy = b.column(1), b.column(2), np.asarray(b.column(3).fill_null(False))
         has = np.asarray(marked.is_valid())
-        offsets, values = marked.offsets.to_numpy(), marked.values.fill_null(0).to_numpy(zero_copy_only=False)
         total, gone, digest, spans = [], [], [], []
         for a, e, buf, off in chunks(text):
             raw = buf.tobytes()
@@ -231,7 +234,7 @@ def _apply(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
                 if copy[a + i] and n >= window:
                     words, span = [], [{"start": 0, "words": n}]
                 elif has[a + i]:
-                    covered = _covered(n, values[offsets[a + i] : offsets[a + i + 1]], window)
+                    covered = _covered(n, np.frombuffer(marked[a + i].as_py(), np.int32), window)
                     words = [w for w, c in zip(words, covered, strict=True) if not c]
                     edge = np.flatnonzero(np.diff(np.r_[0, covered, 0]))
                     span = [{"start": int(s), "words": int(t - s)} for s, t in edge.reshape(-1, 2)]
@@ -252,13 +255,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     digests = docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(F.col(text_col))).alias("_d")).where("_id is not null and _d is not null")
     copies = digests.join(digests.groupBy("_d").agg(F.min("_id").alias("_least")), "_d").where("_id > _least").select("_id").distinct().withColumn("_copy", F.lit(True))
     marked_copies = base.join(copies.hint("shuffle_hash"), "_id", "left")
-    sent = marked_copies.select("_id", F.when(F.col("_copy").isNull(), F.col("_text")).alias("_text")).mapInArrow(functools.partial(_send_anchors, window=window, anchor=anchor), "key long, h long, doc long, hs array<long>")
-    matched = sent.repartition("key").sortWithinPartitions("h").mapInArrow(_match_anchors, "doc long, hs array<long>")
-    flags = matched.groupBy("doc").agg(F.flatten(F.collect_list("hs")).alias("hs"))
+    sent = marked_copies.select("_id", F.when(F.col("_copy").isNull(), F.col("_text")).alias("_text")).mapInArrow(functools.partial(_send_anchors, window=window, anchor=anchor), "key long, h long, doc long, hs binary")
+    matched = sent.repartition("key").sortWithinPartitions("h").mapInArrow(_match_anchors, "doc long, hs binary")
+    flags = matched.groupBy("doc").agg(_joined("hs").alias("hs"))
     flagged = marked_copies.join(flags.hint("shuffle_hash"), F.col("_id") == F.col("doc"), "left")
-    windows = flagged.select("_id", F.when(F.col("hs").isNotNull(), F.col("_text")).alias("_text"), "hs").mapInArrow(functools.partial(_send_windows, window=window, anchor=anchor), "key long, h long, check int, doc long, pos int, marked array<int>")
-    marks = windows.repartition("key").sortWithinPartitions("h", "check", "doc").mapInArrow(_mark_windows, "doc long, marked array<int>")
-    marks = marks.groupBy("doc").agg(F.flatten(F.collect_list("marked")).alias("marked"))
+    windows = flagged.select("_id", F.when(F.col("hs").isNotNull(), F.col("_text")).alias("_text"), "hs").mapInArrow(functools.partial(_send_windows, window=window, anchor=anchor), "key long, h long, check int, doc long, pos int, marked binary")
+    marks = windows.repartition("key").sortWithinPartitions("h", "check", "doc").mapInArrow(_mark_windows, "doc long, marked binary")
+    marks = marks.groupBy("doc").agg(_joined("marked").alias("marked"))
     last = marked_copies.join(marks.hint("shuffle_hash"), F.col("_id") == F.col("doc"), "left").select("_id", "_text", "marked", "_copy")
     return last.mapInArrow(functools.partial(_apply, window=window), "_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, words: long>>")
 
