@@ -164,6 +164,9 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def rename_clashing(df: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of keep only, so that no extra column can clash with those an operator makes."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+def fresh(name: str, columns: list[str]) -> str:
+    """name, or name with underscores before it, such that no column (in any case) is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

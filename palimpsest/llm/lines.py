@@ -9,8 +9,9 @@ the input, not on what is left, so that order and retries don't matter.
 2. Prefixes. Two sets of n tokens that match share one of their first n - ceil(SIMILARITY * n) + 1 tokens, so only those
    are shuffled. Equal sets collapse, within a task before the shuffle and in each token's group after it, to the first.
 3. Filters. In a token's group, pairs must pass the length filter, the positional filter (what can still overlap after
-   the token's place in both) and a bound on the difference from 32-bit parity sketches. As one earlier match
-   suffices, a line names at most three of its candidates: the first, the most frequent and the one of least distance.
+   the token's place in both) and a bound on the difference from 32-bit parity sketches; lines without such a pair are
+   done. The others get 256-bit parity sketches, whose sharper bound leaves candidates. As one earlier match suffices,
+   a line first names NAMED of them.
 4. Verification. Candidates' token sets are compared exactly. A line that named not all its candidates and has found
    no match names all of them in a second pass, so nothing is lost.
 
@@ -29,22 +30,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import Words, chunks, cut, mix, shingles, within
+from .core import Words, chunks, cut, fresh, mix, shingles, small, within
 
 SHINGLE = 5
 #: Similarity as a fraction of integers: 4 / 5.
 NUM, DEN = 4, 5
 BUCKETS, SLICES = 1 << 18, 16
 HELD, BLOCK = 600_000, 512
+NAMED, WIDE, DOCUMENTS = 4, 4, 500_000
 _CLIP = (1 << 18) - 1
 
 
+def _by_line(line: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by line, then key: a fast sort by key, then a stable radix sort by line."""
+    order = np.argsort(key)
+    own = line[order]
+    return order[np.argsort(own.astype(np.uint16) if own.max() < 1 << 16 else own, kind="stable")]
+
+
 class _Lines:
-    """Of a chunk of texts, the lines of SHINGLE words or more and their sorted distinct tokens."""
+    """Of a chunk of texts, the lines of SHINGLE words or more and their distinct tokens, ordered by rarity if counts are given, else by hash."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None = None, plain: bool = False) -> None:
         words = Words(buf, offsets, fold=True)
-        self.tokens, self.line, self.doc, self.place = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        self.tokens, self.line, self.doc, self.place = np.empty(0, np.uint64), none, none, none
         if not len(words.starts):
             return
         ends = np.flatnonzero(buf == 10) + 1
@@ -54,24 +64,39 @@ class _Lines:
         if not len(at):
             return
         tokens = shingles(words.hashes(), SHINGLE)[at]
+        if plain:
+            self.tokens = tokens
+            return
         line = np.searchsorted(first, at, "right") - 1
-        order = np.lexsort((tokens, line))
+        ids = np.flatnonzero(np.bincount(line, minlength=len(cuts)))
+        place = np.zeros(len(cuts), np.int64)
+        place[ids] = np.arange(len(ids))
+        line = place[line]
+        key = tokens if counts is None else order_key(tokens, counts)
+        order = _by_line(line, key)
         tokens, line = tokens[order], line[order]
         new = np.r_[True, (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])]
-        tokens, line = tokens[new], line[new]
-        ids = np.unique(line)
-        doc = np.searchsorted(offsets, cuts[ids], "right") - 1
-        self.tokens, self.line = tokens, np.searchsorted(ids, line)
-        self.doc, head = doc, np.searchsorted(doc, doc)
-        self.place = np.arange(len(ids)) - head
+        self.tokens, self.line = tokens[new], line[new]
+        self.doc = np.searchsorted(offsets, cuts[ids], "right") - 1
+        self.place = np.arange(len(ids)) - np.searchsorted(self.doc, self.doc)
         self.start, self.stop = cuts[ids], np.r_[cuts, len(buf)][ids + 1]
 
 
+def order_key(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rare tokens first: 8 bits for the count's size, 56 of the hash."""
+    level = (8 * np.log2(counts + 1.0)).astype(np.uint64)
+    return level[_bucket(tokens)] << np.uint64(56) | tokens >> np.uint64(8)
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for b in batches:
         for _, _, buf, off in chunks(b.column(0)):
-            total += np.bincount((_Lines(buf, off).tokens >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+            total += np.bincount(_bucket(_Lines(buf, off, plain=True).tokens), minlength=BUCKETS)
     parts = np.minimum(total, 0xFFFFFFFF).astype("<u4").reshape(SLICES, -1)
     yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"])
 
@@ -95,9 +120,9 @@ def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, h, doc, shape, form, gone): a prefix token of a line; or, where h is null, places of lines that repeat another here."""
+    """(h, doc, shape, form, gone): a prefix token of a line; or, where h is null, places of lines that repeat another here."""
     held: list[tuple[np.ndarray, ...]] = []
-    names = ["key", "h", "doc", "shape", "form", "gone"]
+    names = ["h", "doc", "shape", "form", "gone"]
 
     def flush() -> Iterator[pa.RecordBatch]:
         tokens, line, doc, place = [], [], [], []
@@ -122,23 +147,21 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
         gone = np.sort(order[~lead])
         keep = np.ones(n, bool)
         keep[gone] = False
-        rank = np.lexsort((t, counts[(t >> np.uint64(40)).astype(np.int64) % BUCKETS], ln))
         at = np.arange(len(t)) - head[ln]
         prefix = size - -(-NUM * size // DEN) + 1
         chosen = np.flatnonzero((at < prefix[ln]) & keep[ln])
-        h, own = t[rank][chosen], ln[chosen]
+        h, own = t[chosen], ln[chosen]
         shape = place[own] << 36 | np.minimum(size[own], _CLIP) << 18 | np.minimum(at[chosen], _CLIP)
         m = len(h)
-        k = pa.array(h.view(np.int64))
-        yield pa.RecordBatch.from_arrays([k, k, pa.array(doc[own]), pa.array(shape), pa.array(form[own].view(np.int64)), pa.nulls(m, pa.int32())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[own]), pa.array(shape), pa.array(form[own].view(np.int64)), pa.nulls(m, pa.int32())], names)
         if len(gone):
             m = len(gone)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(doc[gone].view(np.uint64)).view(np.int64)), pa.nulls(m, pa.int64()), pa.array(doc[gone]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(place[gone], pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(doc[gone]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(place[gone], pa.int32())], names)
 
     for b in batches:
         ids, known = b.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.asarray(b.column(0).is_valid())
         for a, _, buf, off in chunks(b.column(1)):
-            x = _Lines(buf, off)
+            x = _Lines(buf, off, counts)
             ok = known[a + x.doc]
             if not ok.all():
                 kept = ok[x.line]
@@ -151,100 +174,155 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
         yield from flush()
 
 
-def _group(doc: np.ndarray, shape: np.ndarray, form: np.ndarray) -> tuple[list[np.ndarray], list[tuple]]:
-    """Of one token's rows in order: indices of rows that repeat an earlier set; and candidate pairs (x, y, all named)."""
-    size, at, odd = shape >> 18 & _CLIP, shape & _CLIP, form & 0xFFFFFFFF
-    order = np.lexsort((np.arange(len(doc)), size, form))
-    lead = np.r_[True, (form[order][1:] != form[order][:-1]) | (size[order][1:] != size[order][:-1])]
-    again, firsts = order[~lead], order[lead]
-    times = np.diff(np.r_[np.flatnonzero(lead), len(order)])
-    by = np.argsort(firsts)
-    firsts, times = firsts[by], times[by]
-    pairs = []
-    n, a, o = size[firsts], at[firsts], odd[firsts]
-    for s in range(0, len(firsts), BLOCK):
-        ys = np.arange(s, min(s + BLOCK, len(firsts)))
-        best: dict[int, list[tuple]] = {}
-        for r in range(0, int(ys[-1]), BLOCK):
-            xs = np.arange(r, min(r + BLOCK, int(ys[-1])))
-            ny, nx = n[ys][:, None], n[xs][None]
-            need = -(-NUM * (nx + ny) // (NUM + DEN))
-            ok = (xs[None] < ys[:, None]) & (NUM * np.maximum(nx, ny) <= DEN * np.minimum(nx, ny))
-            ok &= np.minimum(nx - a[xs][None], ny - a[ys][:, None]) >= need
-            far = np.bitwise_count(o[xs][None] ^ o[ys][:, None])
-            ok &= far <= nx + ny - 2 * need
-            for i in np.flatnonzero(ok.any(1)):
-                js = np.flatnonzero(ok[i])
-                pick = {int(js[0]), int(js[np.argmax(times[xs[js]])]), int(js[np.argmin(far[i, js])])}
-                best.setdefault(int(ys[i]), []).extend((int(xs[j]), int(times[xs[j]]), int(far[i, j]), len(js)) for j in pick)
-        for y, found in best.items():
-            pick = {min(found)[0], max(found, key=lambda f: (f[1], -f[0]))[0], min(found, key=lambda f: (f[2], f[0]))[0]}
-            whole = sum({f[0] // BLOCK: f[3] for f in found}.values()) <= len(pick)
-            pairs.extend((firsts[x], firsts[y], whole) for x in pick)
-    return [again], pairs
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x_doc, x_line, y_doc, y_line, whole) from rows sorted by h, doc and shape; lines that go already have a null x."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where rows differ from those before them."""
+    lead = np.ones(len(keys[0]), bool)
+    lead[1:] = False
+    for k in keys:
+        lead[1:] |= k[1:] != k[:-1]
+    return lead
 
-    def out(x_doc: list, x_line: list, y_doc: list, y_line: list, whole: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x_doc, pa.int64()), pa.array(x_line, pa.int32()), pa.array(y_doc, pa.int64()), pa.array(y_line, pa.int32()), pa.array(whole, pa.bool_())], ["x_doc", "x_line", "y_doc", "y_line", "whole"])
-
-    def groups(h: np.ndarray, doc: np.ndarray, shape: np.ndarray, form: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        stop = np.r_[start[1:], len(h)]
-        gone, pairs = [], []
-        for s, e in zip(start[stop - start > 1].tolist(), stop[stop - start > 1].tolist(), strict=True):
-            again, found = _group(doc[s:e], shape[s:e], form[s:e])
-            gone += [s + x for x in again]
-            pairs += [(s + x, s + y, w) for x, y, w in found]
-        if gone:
-            g = np.concatenate(gone)
-            yield out([None] * len(g), [None] * len(g), doc[g].tolist(), (shape[g] >> 36).tolist(), [True] * len(g))
-        if pairs:
-            x, y, w = (np.array(p) for p in zip(*pairs, strict=True))
-            yield out(doc[x].tolist(), (shape[x] >> 36).tolist(), doc[y].tolist(), (shape[y] >> 36).tolist(), w.tolist())
 
+def _fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The length and positional filters for sets of n and m tokens that share their tokens at and to; and the overlap needed."""
+    need = -(-NUM * (n + m) // (NUM + DEN))
+    return (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (np.minimum(n - at, m - to) >= need), need
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
+    """Tables that end where a value of the key column does; a group's rows are held, nothing else."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        null = np.asarray(b.column(1).is_null())
-        if null.any():
-            done = b.filter(pa.array(null))
-            m = done.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), done.column(2), done.column(5), pa.array([True] * m)], ["x_doc", "x_line", "y_doc", "y_line", "whole"])
-        rows = tuple(b.column(i).fill_null(0).to_numpy(zero_copy_only=False)[~null] for i in (1, 2, 3, 4))
-        if not len(rows[0]):
+        if not b.num_rows:
             continue
-        if held and rows[0][-1] == held[-1][0][-1]:
-            held.append(rows)
+        k = b.column(key)
+        if held and held[-1].column(key)[-1].as_py() == k[-1].as_py():
+            held.append(b)
             continue
-        end = int(np.searchsorted(rows[0], rows[0][-1]))
-        held.append(tuple(x[:end] for x in rows))
-        yield from groups(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        held = [tuple(x[end:] for x in rows)]
+        last = k[-1].as_py()
+        cutoff = b.num_rows if last is None else int(np.searchsorted(k.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), last))
+        if cutoff:
+            held.append(b.slice(0, cutoff))
+        if held:
+            yield pa.Table.from_batches(held)
+        held = [b.slice(cutoff)] if cutoff < b.num_rows else []
     if held:
-        yield from groups(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.Table.from_batches(held)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From prefix rows sorted by h: (h, doc, line, n, at) of lines that may match another of their group; or, where h is null, lines that repeat an earlier set."""
+    names = ["h", "doc", "line", "n", "at"]
+    for t in _whole_groups(batches, 0):
+        null = np.asarray(t["h"].is_null())
+        if null.any():
+            done = t.filter(pa.array(null))
+            m = done.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), done["doc"].combine_chunks(), done["gone"].combine_chunks().cast(pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+            t = t.filter(pa.array(~null))
+        h, doc, shape, form = (t[c].to_numpy() for c in ("h", "doc", "shape", "form"))
+        lead = _runs(h) if len(h) else np.empty(0, bool)
+        many = ~lead
+        many[:-1] |= ~lead[1:]
+        if not many.any():
+            continue
+        order = np.flatnonzero(many)
+        order = order[np.lexsort((shape[many], doc[many], h[many]))]
+        h, doc, shape, form = h[order], doc[order], shape[order], form[order]
+        n = shape >> 18 & _CLIP
+        group = np.cumsum(_runs(h))
+        order = np.lexsort((np.arange(len(h)), n, form, group))
+        new = _runs(group[order], form[order], n[order])
+        again = np.sort(order[~new])
+        if len(again):
+            m = len(again)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(doc[again]), pa.array(shape[again] >> 36), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+        kept = np.sort(order[new])
+        h, doc, shape, form, n = h[kept], doc[kept], shape[kept], form[kept], n[kept]
+        at, odd = shape & _CLIP, form & 0xFFFFFFFF
+        start = np.flatnonzero(_runs(h))
+        size = np.diff(np.r_[start, len(h)])
+        good = np.zeros(len(h), bool)
+        two = start[size == 2]
+        ok, need = _fits(n[two], at[two], n[two + 1], at[two + 1])
+        ok &= np.bitwise_count(odd[two] ^ odd[two + 1]) <= n[two] + n[two + 1] - 2 * need
+        good[two[ok]] = good[two[ok] + 1] = True
+        for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            for r in range(s, s + m, BLOCK):
+                i = slice(r, min(r + BLOCK, s + m))
+                for q in range(s, r + 1, BLOCK):
+                    j = slice(q, min(q + BLOCK, s + m))
+                    ok, need = _fits(n[i][:, None], at[i][:, None], n[j][None], at[j][None])
+                    ok &= np.bitwise_count(odd[i][:, None] ^ odd[j][None]) <= n[i][:, None] + n[j][None] - 2 * need
+                    if r == q:
+                        np.fill_diagonal(ok, False)
+                    good[i] |= ok.any(1)
+                    good[j] |= ok.any(0)
+        g = np.flatnonzero(good)
+        if len(g):
+            yield pa.RecordBatch.from_arrays([pa.array(x[g]) for x in (h, doc, shape >> 36, n, at)], names)
+
+
+def _name(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """(x_doc, x_line, y_doc, y_line, whole) from rows (h, doc, line, n, at, odd, asked) sorted by h, doc and line: each asked line's first NAMED candidates, or all of them."""
+    for t in _whole_groups(batches, 0):
+        h, doc, line, n, at = (t[c].to_numpy() for c in ("h", "doc", "line", "n", "at"))
+        odd = np.frombuffer(b"".join(t["odd"].to_pylist()), np.uint64).reshape(-1, WIDE)
+        asked = t["asked"].to_numpy()
+        start = np.flatnonzero(_runs(h))
+        out: list[tuple[int, int, bool]] = []
+        for s, e in zip(start.tolist(), np.r_[start[1:], len(h)].tolist(), strict=True):
+            for y in range(s + 1, e) if e - s > 1 else ():
+                if not asked[y]:
+                    continue
+                named = 0
+                for q in range(s, y, 8 * BLOCK):
+                    j = slice(q, min(q + 8 * BLOCK, y))
+                    ok, need = _fits(n[j], at[j], n[y], at[y])
+                    near = np.flatnonzero(ok)
+                    far = np.bitwise_count(odd[j][near] ^ odd[y]).sum(1, dtype=np.int64)
+                    near = near[far <= n[j][near] + n[y] - 2 * need[near]]
+                    whole = every or named + len(near) <= NAMED
+                    out.extend((q + x, y, whole) for x in (near if every else near[: max(0, NAMED - named)]).tolist())
+                    named += len(near)
+                    if not whole:
+                        out[-1] = (out[-1][0], y, False)
+                        break
+        if out:
+            x, y, whole = (np.array(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(line[x]), pa.array(doc[y]), pa.array(line[y]), pa.array(whole.astype(bool))], ["x_doc", "x_line", "y_doc", "y_line", "whole"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, line, tokens) of the wanted lines of each document."""
+    """(doc, line, tokens, odd) of the wanted lines of each document: packed sorted tokens, and a parity sketch of 64 * WIDE bits."""
     for b in batches:
         ids, wanted = b.column(0).to_pylist(), b.column(2).to_pylist()
         for a, e, buf, off in chunks(b.column(1)):
-            if not any(wanted[a:e]):
-                continue
             x = _Lines(buf, off)
             head = np.searchsorted(x.line, np.arange(len(x.doc) + 1))
-            doc, line, sets = [], [], []
+            out: list[tuple] = []
             for i in range(e - a):
-                if wanted[a + i]:
-                    lo, hi = np.searchsorted(x.doc, [i, i + 1])
-                    for w in set(wanted[a + i]):
-                        if w < hi - lo:
-                            doc.append(ids[a + i])
-                            line.append(w)
-                            sets.append(x.tokens[head[lo + w] : head[lo + w + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["doc", "line", "tokens"])
+                lo, hi = np.searchsorted(x.doc, [i, i + 1])
+                for w in set(wanted[a + i]):
+                    if w < hi - lo:
+                        t = x.tokens[head[lo + w] : head[lo + w + 1]]
+                        bits = np.zeros(64 * WIDE, np.int64)
+                        np.add.at(bits, (t & np.uint64(64 * WIDE - 1)).astype(np.int64), 1)
+                        out.append((ids[a + i], w, t.tobytes(), np.packbits((bits & 1).astype(np.uint8)).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc", "line", "tokens", "odd"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y_doc, y_line) of rows (y_doc, y_line, x, y) whose sets match."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(common * DEN >= NUM * (len(x) + len(y) - common))
+        k = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(k), b.column(1).filter(k)], ["y_doc", "y_line"])
 
 
 def _strip(batches: Iterator[pa.RecordBatch], text_at: int, gone_at: int) -> Iterator[pa.RecordBatch]:
@@ -276,55 +354,49 @@ def _strip(batches: Iterator[pa.RecordBatch], text_at: int, gone_at: int) -> Ite
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the texts' later lines removed, and _lines and _removed, the numbers of all and of removed lines."""
+    """docs with the texts' later lines removed, and _lines and _removed, the numbers of all and of removed lines (own columns of those names give way)."""
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     counts = rarity(plain, "_text")
-    kind = "key long, h long, doc long, shape long, form long, gone int"
-    pair = "x_doc long, x_line int, y_doc long, y_line int, whole boolean"
-
-    rows = plain.mapInArrow(functools.partial(_prefixes, counts=counts), kind).repartition("key").sortWithinPartitions("h", "doc", "shape")
-    found = cut(rows.mapInArrow(_candidates, pair).groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.min("whole").alias("whole")))
+    kind = "h long, doc long, shape long, form long, gone int"
+    rows = plain.mapInArrow(functools.partial(_prefixes, counts=counts), kind).repartition(F.coalesce("h", "doc")).sortWithinPartitions("h")
+    met = cut(rows.mapInArrow(_meet, "h long, doc long, line long, n long, at long"))
+    exact = met.where("h is null").select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"))
+    near = met.where("h is not null").join(exact.distinct(), (F.col("doc") == F.col("y_doc")) & (F.col("line") == F.col("y_line")), "left_anti")
+    wanted = small(cut(near.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_wanted"))), DOCUMENTS)
+    sets = plain.join(wanted, F.col("_id") == F.col("_doc")).select("_id", "_text", "_wanted").mapInArrow(_sets, "doc long, line long, tokens binary, odd binary")
+    sets = cut(sets.groupBy("doc", "line").agg(F.max("tokens").alias("tokens"), F.max("odd").alias("odd")))
+
+    def named(asked: DataFrame | None) -> DataFrame:
+        """Candidates of the asked lines, or the first of all lines."""
+        ready = near.join(sets.select("doc", "line", "odd"), ["doc", "line"])
+        if asked is None:
+            ready = ready.withColumn("asked", F.lit(True))
+        else:
+            ready = ready.join(asked.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.lit(True).alias("asked")), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        ready = ready.select("h", "doc", "line", "n", "at", "odd", "asked").repartition("h").sortWithinPartitions("h", "doc", "line")
+        pairs = ready.mapInArrow(functools.partial(_name, every=asked is not None), "x_doc long, x_line long, y_doc long, y_line long, whole boolean")
+        return cut(pairs.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.min("whole").alias("whole")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line")).distinct()
-        wanted = ends.groupBy("doc").agg(F.collect_list("line").alias("wanted"))
-        sets = plain.join(wanted, F.col("_id") == F.col("doc")).select("_id", "_text", "wanted").mapInArrow(_sets, "doc long, line int, tokens array<long>")
-        sets = cut(sets.groupBy("doc", "line").agg(F.max_by("tokens", F.size("tokens")).alias("tokens")))
-        x = sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("tokens").alias("x"))
-        y = sets.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("tokens").alias("y"))
+        x, y = (sets.select(F.col("doc").alias(f"{c}_doc"), F.col("line").alias(f"{c}_line"), F.col("tokens").alias(c)) for c in ("x", "y"))
         both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(common * DEN >= NUM * (F.size("x") + F.size("y") - common)).select("y_doc", "y_line").distinct()
-
-    exact = found.where("x_doc is null").select("y_doc", "y_line").distinct()
-    near = found.where("x_doc is not null").join(exact, ["y_doc", "y_line"], "left_anti")
-    gone = cut(exact.union(verified(near)))
-    left = near.where("not whole").select("y_doc", "y_line").distinct().join(gone, ["y_doc", "y_line"], "left_anti")
-    if not (left := cut(left)).isEmpty():
-        flagged = left.select(F.col("y_doc").alias("_d"), F.col("y_line").alias("_l"))
-        every = _every(rows, flagged).join(near.select("x_doc", "x_line", "y_doc", "y_line"), ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
-        gone = cut(gone.union(verified(cut(every.distinct()))))
-    by = gone.groupBy(F.col("y_doc").alias("_doc")).agg(F.collect_set("y_line").alias("_gone"))
-    names = [c for c in docs.columns if c not in ("_doc", "_gone", "_lines", "_removed")]
-    ready = docs.select(*[F.col(f"`{c}`") for c in names]).join(by.hint("shuffle_hash"), F.col(f"`{id_col}`") == F.col("_doc"), "left").drop("_doc")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[F.col(f"`{c}`") for c in names]).dtypes)
+        return both.select("y_doc", "y_line", "x", "y").mapInArrow(_verify, "y_doc long, y_line long").distinct()
+
+    pairs = named(None)
+    matched = cut(verified(pairs))
+    left = cut(pairs.where("not whole").select("y_doc", "y_line").distinct().join(matched, ["y_doc", "y_line"], "left_anti"))
+    gone = exact.union(matched)
+    if not left.isEmpty():
+        gone = gone.union(cut(verified(named(left))))
+    key, list_ = fresh("_doc", docs.columns), fresh("_gone", docs.columns)
+    by = small(cut(gone.groupBy(F.col("y_doc").alias(key)).agg(F.collect_set("y_line").alias(list_))), DOCUMENTS)
+    names = [c for c in docs.columns if c not in ("_lines", "_removed")]
+    plain_docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    ready = plain_docs.join(by, F.col(f"`{id_col}`") == F.col(f"`{key}`"), "left").drop(key)
+    schema = ", ".join(f"`{c}` {t}" for c, t in plain_docs.dtypes)
     return ready.mapInArrow(functools.partial(_strip, text_at=names.index(text_col), gone_at=len(names)), schema + ", _lines long, _removed long")
 
 
-def _every(rows: DataFrame, flagged: DataFrame) -> DataFrame:
-    """All candidates of the flagged lines (_d, _l) in prefix rows, by a join on the token."""
-    place = F.shiftright("shape", 36).cast("int")
-    size, at = F.shiftright("shape", 18).bitwiseAND(F.lit(_CLIP)), F.col("shape").bitwiseAND(F.lit(_CLIP))
-    cols = rows.where("h is not null").select("h", F.col("doc"), place.alias("line"), size.alias("n"), at.alias("at"), F.col("form").bitwiseAND(F.lit(0xFFFFFFFF)).alias("odd"))
-    y = cols.join(flagged, (F.col("doc") == F.col("_d")) & (F.col("line") == F.col("_l"))).select("h", *[F.col(c).alias(f"y_{c}") for c in ("doc", "line", "n", "at", "odd")])
-    x = cols.select("h", *[F.col(c).alias(f"x_{c}") for c in ("doc", "line", "n", "at", "odd")])
-    need = F.ceil((F.col("x_n") + F.col("y_n")) * NUM / F.lit(NUM + DEN))
-    both = x.join(y, "h").where((F.col("x_doc") < F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_line") < F.col("y_line"))))
-    both = both.where((F.greatest("x_n", "y_n") * NUM <= F.least("x_n", "y_n") * DEN) & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= need))
-    both = both.where(F.bit_count(F.col("x_odd").bitwiseXOR(F.col("y_odd"))) <= F.col("x_n") + F.col("y_n") - 2 * need)
-    return both.select("x_doc", "x_line", "y_doc", "y_line")
-
-
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, removed lines, and the digest of the remaining text."""
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
