@@ -3,10 +3,11 @@
 Documents are near-duplicates if the Jaccard similarity of their sets of SHINGLE-word shingles is at least SIMILARITY.
 At 0.8 that means up to about 20 of 64 fingerprint bits, too many for shards of equal bit blocks: shards are cut by
 least shingle hashes instead. A document goes to BANDS shards, each named by its least shingle hashes under two orders,
-so that documents at the similarity share a shard with probability 1 - (1 - 0.8 ** 2) ** BANDS = 0.998. Within a
+so that documents at the similarity share a shard with probability 1 - (1 - 0.8 ** 2) ** BANDS = 0.99996. Within a
 shard a BK-tree of the fingerprints finds what lies within RADIUS bits, and bottom-K sketches estimate the similarity
 (exactly, for up to SKETCH shingles). Pairs of SURE similarity link; pairs about the threshold are verified on full
-shingle sets, at most two a document and shard. Equal texts are one from the start.
+shingle sets, at most NAMED a document and shard, the most similar first. Equal texts are one from the start, and
+sketches are sent to shards that hold several documents only.
 
 A shard over CROWDED documents orders them by how usual their shingles are in it, so that what the others derive from
 comes first, and its tree takes only documents that no earlier one stands for.
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import Words, chunks, cut, mix, shingles, small, within
+from .core import Words, chunks, cut, fresh, mix, shingles, small, within
 from .graph import components
 from .simhash import CROWDED, Tree, fingerprints
 
-SHINGLE, RADIUS, BANDS, SKETCH = 5, 20, 6, 128
+SHINGLE, RADIUS, BANDS, SKETCH, NAMED = 5, 22, 10, 256, 4
 SIMILARITY, UNSURE, SURE = 0.8, 0.7, 0.92
 _SALT = np.random.default_rng(21).integers(1, 1 << 63, (BANDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -108,7 +109,7 @@ def _pairs(members: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bo
                     yield members[x][0], members[y][0], True
                 elif e >= UNSURE:
                     near.append((-e, y))
-        for e, y in sorted(near)[:2]:
+        for e, y in sorted(near)[:NAMED]:
             if find(x) != find(y):
                 if -e >= SIMILARITY:
                     stood = True
@@ -172,7 +173,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = rows.mapInArrow(_signatures, "digest binary, _id long, fp long, bands array<long>, sketch binary")
     ids = rows.groupBy("_id").agg(F.min("digest").alias("digest"))
     first = cut(signed.groupBy("digest").agg(F.min(F.struct("_id", "fp", "bands", "sketch")).alias("s")).select("digest", "s.*"))
-    dealt = first.where(F.col("digest") != F.lit("null").cast("binary")).select(F.explode("bands").alias("band"), "_id", "fp", "sketch")
+    keys = first.where(F.col("digest") != F.lit("null").cast("binary")).select(F.explode("bands").alias("band"), "_id")
+    shared = keys.groupBy("band").count().where("count > 1").select("band")
+    dealt = keys.join(shared, "band", "left_semi").join(first.select("_id", "fp", "sketch"), "_id").select("band", "_id", "fp", "sketch")
     found = dealt.repartition("band").sortWithinPartitions("band").mapInArrow(_shards, "u long, v long, sure boolean")
     found = cut(found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("sure").alias("sure")))
     unsure = found.where("not sure").select("u", "v")
@@ -189,5 +192,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns."""
-    gone = small(cut(representatives(docs, id_col, text_col).select("_gone")), 500_000)
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    key = fresh("_gone", docs.columns)
+    gone = small(cut(representatives(docs, id_col, text_col).select(F.col("_gone").alias(key))), 500_000)
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{key}`"), "left_anti")
