@@ -2,7 +2,8 @@
 
 Examples are at most EXAMPLES labelled rows, those whose ids have the smallest hashes. A text's terms are its words
 (runs of letters, lower-cased) and the first PREFIXES bytes of longer ones, so that unseen forms of a known stem count. The vocabulary is what the examples' labels speak for or against: terms in MIN_ROWS examples or more whose
-log-likelihood ratio with the label is at least LEAST_RATIO.
+log-likelihood ratio with the label is at least LEAST_RATIO, and whose toxic share differs from the usual one by a factor
+of LEAST_LIFT or more (so that no term of most texts, whose postings would be long, gets in).
 
 An example's vector is its TF-IDF over the vocabulary, of unit length. For every whole text the NEIGHBOURS examples of
 greatest cosine are found exactly in a block-max inverted index: postings lie in blocks of examples with the largest
@@ -28,15 +29,18 @@ from pyspark.sql import functions as F
 
 from .core import Words, _BYTES, _FOLDED, chunks, cut, mix
 
-EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 15, 64
-MIN_ROWS, LEAST_RATIO, PRIOR = 3, 12.0, 0.5
+EXAMPLES, NEIGHBOURS, BLOCK = 8_000, 15, 64
+MIN_ROWS, LEAST_RATIO, LEAST_LIFT, PRIOR = 3, 12.0, 2.0, 0.5
 PREFIXES = range(3, 11)
 THRESHOLD = 0.7
 _NOT_LETTERS = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
 
 
-def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of the distinct terms of each text."""
+def terms(buf: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of the distinct terms of each text; of those in the sorted vocabulary alone, as their places, if one is given."""
+    if vocabulary is not None:
+        maybe = np.zeros(1 << 16, bool)
+        maybe[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
     words = Words(buf, offsets, True, _NOT_LETTERS)
     n = len(words.starts)
     doc = np.searchsorted(words.first, np.arange(n), "right") - 1
@@ -49,8 +53,14 @@ def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         own = np.flatnonzero(size > k)
         s = words.starts[own]
         e = s + k if k else words.ends[own]
-        all_docs.append(doc[own])
-        all_terms.append(mix((total[e] - total[s]) * down[s] + np.uint64(k)))
+        d, t = doc[own], mix((total[e] - total[s]) * down[s] + np.uint64(k))
+        if vocabulary is not None:
+            hit = np.flatnonzero(maybe[(t & np.uint64(0xFFFF)).astype(np.int64)])
+            t, d = t[hit], d[hit]
+            at, hit = _look(vocabulary, t)
+            t, d = at[hit], d[hit]
+        all_docs.append(d)
+        all_terms.append(t)
     doc, term = np.concatenate(all_docs), np.concatenate(all_terms)
     order = np.lexsort((term, doc))
     doc, term = doc[order], term[order]
@@ -73,9 +83,7 @@ def _vectors(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Itera
     """(_id, toxic, terms, counts) of examples (text, toxic, _id), over the sorted vocabulary."""
     for b in batches:
         for a, e, buf, off in chunks(pc.utf8_lower(b.column(0))):
-            d, t, n = terms(buf, off)
-            i, hit = _look(vocabulary, t)
-            d, i, n = d[hit], i[hit], n[hit]
+            d, i, n = terms(buf, off, vocabulary)
             at = pa.array(np.searchsorted(d, np.arange(e - a + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(2)[a:e], b.column(1)[a:e], pa.ListArray.from_arrays(at, pa.array(i, pa.int32())), pa.ListArray.from_arrays(at, pa.array(n, pa.int32()))], ["_id", "toxic", "terms", "counts"])
 
@@ -129,12 +137,12 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         weight = np.zeros(self.blocks * BLOCK)
         found_rows, found = np.empty(0, np.int64), np.empty(0)
-        chosen, least, take = 0, 0.0, 2
+        chosen, least, take = 0, 0.0, 8
         while chosen < len(order) and bound[order[chosen]] > 0 and (len(found) < k or bound[order[chosen]] >= least - 1e-12):
             use = np.zeros(self.blocks, bool)
             part = order[chosen : chosen + take]
             use[part if len(found) < k else part[bound[part] >= least - 1e-12]] = True
-            chosen, take = chosen + take, take * 4
+            chosen, take = chosen + take, take * 8
             mine = np.flatnonzero(use[self.segment_block[seg]])
             s = seg[mine]
             n = self.segment[s + 1] - self.segment[s]
@@ -187,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0)
 
     ratio = 2 * (cell(y, n * pos / big) + cell(n - y, n * (big - pos) / big) + cell(pos - y, (big - n) * pos / big) + cell(big - n - pos + y, (big - n) * (big - pos) / big))
-    chosen = stats.where(ratio >= LEAST_RATIO).select("term", "n").collect() if total and 0 < bad < total else []
+    leaning = (y * big >= LEAST_LIFT * n * pos) | (y * big * LEAST_LIFT <= n * pos)
+    chosen = stats.where((ratio >= LEAST_RATIO) & leaning).select("term", "n").collect() if total and 0 < bad < total else []
     vocabulary = np.array([r["term"] for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(vocabulary)
     vocabulary, df = vocabulary[order], np.array([r["n"] for r in chosen], np.float64)[order]
@@ -199,9 +208,7 @@ def _score(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
     for b in batches:
         scores, near = [], []
         for a, e, buf, off in chunks(pc.utf8_lower(b.column(1))):
-            d, t, n = terms(buf, off)
-            i, hit = _look(index.vocabulary, t)
-            d, i, n = d[hit], i[hit], n[hit].astype(np.float64)
+            d, i, n = terms(buf, off, index.vocabulary)
             at = np.searchsorted(d, np.arange(e - a + 1))
             for j in range(e - a):
                 s, ids = index.score(i[at[j] : at[j + 1]], n[at[j] : at[j + 1]])
