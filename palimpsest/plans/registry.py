@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import analytic, graphs, relational, streams, texts  # noqa: E402, F401
+from . import analytic, graphs, maps, relational, streams, texts  # noqa: E402, F401

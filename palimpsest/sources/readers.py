@@ -175,15 +175,52 @@ def decode_tga(data: bytes) -> np.ndarray:
     return out if flags & 32 else out[::-1]
 
 
+def decode_dds(data: bytes) -> np.ndarray:
+    """A DDS of block format 1 or 3 (DXT1, DXT5), or of uncompressed 32-bit pixels, as rows x columns x RGBA; the first level alone."""
+    if data[:4] != b"DDS ":
+        raise ValueError("no DDS")
+    height, width = struct.unpack_from("<2I", data, 12)
+    code, bits = data[84:88], struct.unpack_from("<I", data, 88)[0]
+    if code not in (b"DXT1", b"DXT5"):
+        if bits != 32:
+            raise ValueError("unsupported DDS")
+        order = [int(m).bit_length() // 8 - 1 for m in struct.unpack_from("<4I", data, 92)]
+        raw = np.frombuffer(data, np.uint8, width * height * 4, 128).reshape(height, width, 4)
+        return np.stack([raw[..., k] if k >= 0 else np.full((height, width), 255, np.uint8) for k in order], -1)
+    size = 8 if code == b"DXT1" else 16
+    rows, cols = -(-height // 4), -(-width // 4)
+    block = np.frombuffer(data, np.uint8, rows * cols * size, 128).reshape(rows * cols, size)
+    colour = block[:, size - 8 :]
+    ends = np.ascontiguousarray(colour[:, :4]).view("<u2").astype(np.int64)
+    rgb = np.stack([(ends >> 11 & 31) * 255 // 31, (ends >> 5 & 63) * 255 // 63, (ends & 31) * 255 // 31], -1)
+    a, b = rgb[:, 0], rgb[:, 1]
+    four = (ends[:, 0] > ends[:, 1])[:, None] | (size == 16)
+    table = np.stack([a, b, np.where(four, (2 * a + b) // 3, (a + b) // 2), np.where(four, (a + 2 * b) // 3, 0)], 1)
+    pick = np.ascontiguousarray(colour[:, 4:]).view("<u4").astype(np.int64) >> (2 * np.arange(16)) & 3
+    out = np.concatenate([np.take_along_axis(table, pick[..., None], 1), np.full((len(block), 16, 1), 255)], 2)
+    if size == 8:
+        out[..., 3] = np.where(~four & (pick == 3), 0, 255)
+    else:
+        e = block[:, :2].astype(np.int64)
+        code6 = sum(block[:, 2 + i].astype(np.int64) << (8 * i) for i in range(6))[:, None] >> (3 * np.arange(16)) & 7
+        k = np.arange(8)[None]
+        more = (e[:, :1] * (8 - k) + e[:, 1:] * (k - 1)) // 7
+        less = (e[:, :1] * (6 - k) + e[:, 1:] * (k - 1)) // 5
+        alpha = np.where(e[:, :1] > e[:, 1:], more, np.where(k == 6, 0, np.where(k == 7, 255, less)))
+        alpha[:, 0], alpha[:, 1] = e[:, 0], e[:, 1]
+        out[..., 3] = np.take_along_axis(alpha, code6, 1)
+    return out.reshape(rows, cols, 4, 4, 4).transpose(0, 2, 1, 3, 4).reshape(rows * 4, cols * 4, 4)[:height, :width].astype(np.uint8)
+
+
 def pixels(files: DataFrame, key: str, content: str = "content", form: str = "png") -> DataFrame:
     """(key, y, x, value) of images: colours packed as r * 65536 + g * 256 + b, grey as it is. Rows are sent on as they are decoded."""
-    decode = {"png": decode_png, "tga": decode_tga}[form]
+    decode = {"png": decode_png, "tga": decode_tga, "dds": decode_dds}[form]
 
     def run(frames):
         for f in frames:
             for k, c in zip(f["k"], f["c"], strict=True):
                 a = decode(bytes(c)).astype(np.int64)
-                value = a[..., 0] if a.shape[2] < 3 else (a[..., 0] << 16 | a[..., 1] << 8 | a[..., 2]) if form == "png" else (a[..., 2] << 16 | a[..., 1] << 8 | a[..., 0])
+                value = a[..., 0] if a.shape[2] < 3 else (a[..., 0] << 16 | a[..., 1] << 8 | a[..., 2]) if form != "tga" else (a[..., 2] << 16 | a[..., 1] << 8 | a[..., 0])
                 for y in range(0, len(value), 256):
                     part = value[y : y + 256]
                     yy, xx = np.indices(part.shape)

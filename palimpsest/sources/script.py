@@ -41,9 +41,15 @@ def tokens(text: str) -> Iterator[tuple[str, str, int]]:
         line += m[0].count("\n")
 
 
-def parse(text: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The statements of a text, and (line, message) of what was wrong."""
+#: Words that stand before a name in interface files, as in `type button_x = button { }`.
+PREFIXES = ("type", "types", "template", "local_template", "block", "blockoverride", "layer", "state", "item")
+
+
+def parse(text: str, gui: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
+    """The statements of a text, and (line, message) of what was wrong. With gui, a prefix word joins the name after it to one key, and a name before a block is its value's type."""
     items, errors = list(tokens(text.removeprefix("\ufeff"))), []
+    if gui:
+        items = _joined(items)
     top: list[Node] = []
     stack: list[tuple[list[Node], Node | None]] = [(top, None)]
     i = 0
@@ -78,7 +84,7 @@ def parse(text: str) -> tuple[list[Node], list[tuple[int, str]]]:
             vkind, v, vline = items[i]
             if vkind == "brace":
                 node = Node(s, op, None, "block", line)
-            elif vkind == "atom" and i + 1 < len(items) and items[i + 1][1] == "{" and re.fullmatch(r"rgb|hsv|hsv360|hex|list|scripted_\w+", v):
+            elif vkind == "atom" and i + 1 < len(items) and items[i + 1][1] == "{" and (gui or re.fullmatch(r"rgb|hsv|hsv360|hex|list|scripted_\w+", v)):
                 node, i = Node(s, op, v, "block", line), i + 1
             else:
                 here.append(Node(s, op, v.strip('"') if vkind == "string" else v, vkind, line, vline))
@@ -96,6 +102,26 @@ def parse(text: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return top, errors
 
 
+def _joined(items: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """Tokens of an interface file as those of plain statements: `type a = b {` becomes `type a` = b {, and `block "x" {` becomes `block x` = {."""
+    out, i = [], 0
+    while i < len(items):
+        kind, s, line = items[i]
+        if kind == "atom" and s in PREFIXES and i + 1 < len(items) and items[i + 1][0] in ("atom", "string"):
+            out.append(("atom", f"{s} {items[i + 1][1].strip(chr(34))}", line))
+            i += 2
+            if i < len(items) and items[i][1] == "{":
+                out.append(("op", "=", line))
+            continue
+        if kind == "atom" and i + 1 < len(items) and items[i + 1][1] == "{" and (not out or out[-1][0] != "op"):
+            out += [items[i], ("op", "=", line)]
+            i += 1
+            continue
+        out.append(items[i])
+        i += 1
+    return out
+
+
 def canonical_hash(node: Node) -> str:
     """A digest of a statement without its place and spacing; a block's follows from its children's."""
     h = hashlib.sha256(f"{node.key}\x1f{node.op}\x1f{node.value}\x1f{node.kind == 'block'}\x1e".encode())
