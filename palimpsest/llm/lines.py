@@ -49,9 +49,9 @@ def _by_line(line: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 class _Lines:
-    """Of a chunk of texts, the lines of SHINGLE words or more and their distinct tokens, ordered by rarity if counts are given, else by hash."""
+    """Of a chunk of texts, the lines of SHINGLE words or more and their distinct tokens, ordered by rarity if counts are given, else by hash. plain: all tokens alone; places: the lines alone."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None = None, plain: bool = False) -> None:
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None = None, plain: bool = False, places: bool = False) -> None:
         words = Words(buf, offsets, fold=True)
         none = np.empty(0, np.int64)
         self.tokens, self.line, self.doc, self.place = np.empty(0, np.uint64), none, none, none
@@ -60,15 +60,21 @@ class _Lines:
         ends = np.flatnonzero(buf == 10) + 1
         cuts = np.unique(np.concatenate((offsets, ends)))
         first = np.searchsorted(words.starts, cuts)
-        at = within(first, SHINGLE)
-        if not len(at):
+        ids = np.flatnonzero(np.diff(first) >= SHINGLE)
+        if not len(ids):
+            return
+        if not plain:
+            self.doc = np.searchsorted(offsets, cuts[ids], "right") - 1
+            self.place = np.arange(len(ids)) - np.searchsorted(self.doc, self.doc)
+            self.start, self.stop = cuts[ids], cuts[ids + 1]
+        if places:
             return
+        at = within(first, SHINGLE)
         tokens = shingles(words.hashes(), SHINGLE)[at]
         if plain:
             self.tokens = tokens
             return
         line = np.searchsorted(first, at, "right") - 1
-        ids = np.flatnonzero(np.bincount(line, minlength=len(cuts)))
         place = np.zeros(len(cuts), np.int64)
         place[ids] = np.arange(len(ids))
         line = place[line]
@@ -77,9 +83,6 @@ class _Lines:
         tokens, line = tokens[order], line[order]
         new = np.r_[True, (line[1:] != line[:-1]) | (tokens[1:] != tokens[:-1])]
         self.tokens, self.line = tokens[new], line[new]
-        self.doc = np.searchsorted(offsets, cuts[ids], "right") - 1
-        self.place = np.arange(len(ids)) - np.searchsorted(self.doc, self.doc)
-        self.start, self.stop = cuts[ids], np.r_[cuts, len(buf)][ids + 1]
 
 
 def order_key(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -330,7 +333,7 @@ def _strip(batches: Iterator[pa.RecordBatch], text_at: int, gone_at: int) -> Ite
         text, gone = b.column(text_at), b.column(gone_at).to_pylist()
         new, lines, removed = [None] * b.num_rows, [0] * b.num_rows, [0] * b.num_rows
         for a, e, buf, off in chunks(text):
-            x = _Lines(buf, off) if any(gone[a:e]) else None
+            x = _Lines(buf, off, places=True) if any(gone[a:e]) else None
             raw = buf.tobytes()
             for i in range(e - a):
                 one = raw[off[i] : off[i + 1]]
