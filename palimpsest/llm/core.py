@@ -6,13 +6,14 @@ text can be cut on its bytes. A null text has no words. All hashing works on who
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..shared import cut, shared_folder, small
+
+__all__ = ["CHUNK_BYTES", "WORD", "Words", "chunks", "cut", "fresh", "mix", "shared_folder", "shingles", "small", "text_buffer", "within"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1_000_000
@@ -145,25 +146,6 @@ def chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         a = b
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set, as in tests, a local one."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palimpsest-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df with a broadcast hint if it has been counted to hold at most so many rows; else as it is, for Spark to join by shuffling."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def fresh(name: str, columns: list[str]) -> str:
     """name, or name with underscores before it, such that no column (in any case) is called so."""
     taken = {c.lower() for c in columns}

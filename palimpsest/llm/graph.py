@@ -1,35 +1,5 @@
-"""Connected components by alternating stars, on DataFrames alone."""
+"""Connected components, as the library computes them."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .core import cut
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(vertex, component) of every vertex with an edge, given edges (u, v) of longs; the component is its smallest vertex.
-
-    Each round links every vertex's larger neighbours to the least one (large star), then its smaller ones (small
-    star); the rounds grow with the logarithm of the vertices. Minima are taken before the shuffle and joins split
-    skewed keys, so a hub of any degree is held nowhere. Rows with nulls, loops and repeated edges count for nothing.
-    """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    mark = _mark(now)
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(parent.select("u", F.col("m").alias("v")))
-        now = cut(small.distinct())
-        if (then := _mark(now)) == mark:
-            break
-        mark = then
-    # Every vertex now points at its component, which has no edge of its own.
-    return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(now.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+__all__ = ["components"]
