@@ -131,10 +131,28 @@ class Index:
             hits = part if hits is None else hits.unionByName(part)
         hits = cut(search.rank_results(hits, query, F.col("source_name").isin(*own) if own else F.lit(False), limit, [F.col("branch").asc(), F.col("source_rank").asc(), F.col("name").asc(), F.col("path").asc()], ["kind", "name", "path"]))
         if not hits.isEmpty():
-            return hits.drop("branch")
+            return self._filled(hits.drop("branch"), query, limit, public)
         rows = search.contains(self._table("localization", public), "value", query)
         return rows.limit(limit).select(F.lit("text").alias("kind"), F.col("key").alias("name"), F.col("rel_path").alias("path"), "source_name", "source_rank", F.row_number().over(Window.orderBy(F.length("value"), "key")).alias("place"))
 
+    def corpus(self, public: bool = True) -> DataFrame:
+        """(kind, name, path, source_name, source_rank, text): what full-text search reads."""
+        o = self._table("objects", public).select(F.lit("object").alias("kind"), "name", F.col("rel_path").alias("path"), "source_name", "source_rank", F.concat_ws(" ", "object_type", "name").alias("text"))
+        r = self._table("resources", public).select(F.lit("resource").alias("kind"), F.col("path").alias("name"), "path", "source_name", "source_rank", F.col("path").alias("text"))
+        loc = self._table("localization", public).where("language in ('english', 'simp_chinese')").select(F.lit("localization").alias("kind"), F.col("key").alias("name"), F.col("rel_path").alias("path"), "source_name", "source_rank", F.concat_ws(" ", "key", "value").alias("text"))
+        return o.unionByName(r).unionByName(loc)
+
+    def _filled(self, hits: DataFrame, query: str, limit: int, public: bool) -> DataFrame:
+        """hits, with free places filled from full-text search, best first."""
+        have = hits.count()
+        if have >= limit:
+            return hits
+        docs = self.corpus(public).withColumn("_key", F.concat_ws("\t", "kind", "name", "path"))
+        ranked = search.bm25(docs, "_key", "text", query, 4 * limit)
+        more = docs.join(F.broadcast(ranked), "_key").join(hits.select("kind", "name", "path"), ["kind", "name", "path"], "left_anti").dropDuplicates(["kind", "name", "path"])
+        more = more.withColumn("place", F.row_number().over(Window.orderBy("score", "name", "path")) + have).where(F.col("place") <= limit)
+        return hits.unionByName(more.select(*hits.columns))
+
     def dependencies(self, key: str, depth: int = 2) -> DataFrame:
         """(node, hops) of what a name touches by references, either way."""
         edges = self._table("refs").where("from_name is not null").select(F.col("from_name").alias("u"), F.col("ref_name").alias("v"))

@@ -44,8 +44,9 @@ def test_references_and_diagnostics(index):
 
 
 def test_search_patterns_and_compare(index):
-    hits = [(r.kind, r.name, r.source_name) for r in index.search("brave", 5).collect()]
-    assert hits[0] == ("object", "brave", "mod") and {h[0] for h in hits} == {"object", "reference", "localization"}
+    hits = [(r.kind, r.name, r.source_name) for r in index.search("brave", 9).orderBy("place").collect()]
+    assert hits[0] == ("object", "brave", "mod") and {h[0] for h in hits[:5]} == {"object", "reference", "localization"}
+    assert hits[5:] == [("resource", "gfx/brave.dds", "game")]
     assert [r.name for r in index.search("old title").collect()] == ["old.1.t"]
     assert {(r.field, r.value_shape, r.n) for r in index.patterns("trait").collect()} == {("cost", "integer", 3), ("icon", "path", 1), ("opposite", "atom", 1)}
     assert {r.field: r.status for r in index.compare("trait:brave", "mod", "game").collect()} == {"cost": "changed", "icon": "removed", "opposite": "added"}

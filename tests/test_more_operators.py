@@ -128,3 +128,23 @@ def test_dds():
     raw = np.arange(64, dtype=np.uint8).reshape(4, 4, 4)
     b = readers.decode_dds(dds(bytes(4), raw.tobytes(), 32, (0xFF0000, 0xFF00, 0xFF, 0xFF000000)))
     assert (b[..., 0] == raw[..., 2]).all() and (b[..., 3] == raw[..., 3]).all()
+
+
+def test_provinces(spark):
+    from palimpsest.operators import provinces
+
+    p = spark.createDataFrame([(1, "c1", "city_holding", "plains", "x", "r", "yes", 4), (2, "c1", "castle_holding", "hills", "y", "r", "", 2), (3, "c2", "none", "desert", "x", "", "no", 1), (4, "c2", "none", "plains", "x", None, "", 1)], "id long, county string, holding string, terrain string, culture string, religion string, is_county_capital string, area int")
+    value = lambda n: {r.entity: float(r.value) for r in provinces.recipe(p, n).collect()}
+    assert value("settlement_terrain_gap") == {"c1": pytest.approx(0.75 - 0.45 * 8), "c2": pytest.approx(0 - 0.45)}
+    assert {r.entity: r.value for r in provinces.recipe(p, "cultural_frontier").collect()} == {"c1": "x", "c2": "x"}
+    e = spark.createDataFrame([("c1", "c2", 1.0), ("c2", "c1", 1.0)], "u string, v string, w double")
+    moved = {r.entity: float(r.value) for r in provinces.recipe(p, "development_network", edges=e).collect()}
+    assert moved["c1"] == pytest.approx(8.75) and 1.0 < moved["c2"] < 8.75
+    edges = spark.createDataFrame([(1, 3, 5), (3, 1, 5), (2, 3, 3), (3, 2, 3), (2, 4, 1), (4, 2, 1)], "u long, v long, border int")
+    known = p.withColumn("religion", F.when(F.col("id") == 1, "a").when(F.col("id") == 2, "b").otherwise(F.col("religion")))
+    assert {(r.id, r.religion, r.weight) for r in provinces.faith_plan(known, edges).collect()} == {(3, "a", 10), (4, "b", 1)}
+    at = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 0.0, -2.0), (4, 9.0, 4.0)], "id long, x double, y double")
+    assert {(r.id, r.hops, r.distance, r.direction) for r in provinces.neighbours(edges, at, 1, 2).collect()} == {(3, 1, 2.0, "north"), (2, 2, 5.0, "southeast")}
+    site = spark.createDataFrame([(True, False, True, True, False, False, True, "city_holding", 0, 2, 0), (False, True, None, None, None, None, None, "ruin", None, None, 3)], "empty_slot boolean, has_special boolean, capital boolean, coastal boolean, inland_water boolean, pass_or_choke boolean, border boolean, holding string, water_hops int, same_culture_near int, special_near int")
+    assert sorted(r.score for r in provinces.building_score(site).collect()) == [0, 50 + 30 + 12 + 10 + 8 + 4 + 4 + 4]
+    assert {(r.county, r.provinces, r.main_culture) for r in provinces.title_context(p, "county").collect()} == {("c1", 2, "x"), ("c2", 2, "x")}
