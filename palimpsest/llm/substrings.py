@@ -80,7 +80,7 @@ def _ids(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """(key, h, doc, hs): a piece's first document here, to be matched elsewhere; or, where h is null, a document's pieces that are matched."""
+    """(h, doc, hs): a piece's first document here, to be matched elsewhere; or, where h is null, a document's pieces that are matched."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -93,10 +93,10 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -
         lead = np.r_[True, h[1:] != h[:-1]]
         many = ~lead | np.r_[~lead[1:], False]
         one, sent = pa.array(h[lead].view(np.int64)), pa.array(doc[lead])
-        yield pa.RecordBatch.from_arrays([one, one, sent, pa.nulls(len(one), pa.binary())], ["key", "h", "doc", "hs"])
+        yield pa.RecordBatch.from_arrays([one, sent, pa.nulls(len(one), pa.binary())], ["h", "doc", "hs"])
         if many.any():
             d, hs = _lists(doc[many], h[many])
-            yield pa.RecordBatch.from_arrays([pa.array(mix(d.to_numpy().view(np.uint64)).view(np.int64)), pa.nulls(len(d), pa.int64()), d, hs], ["key", "h", "doc", "hs"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int64()), d, hs], ["h", "doc", "hs"])
 
     for b in batches:
         ids, known = _ids(b.column(0))
@@ -116,11 +116,11 @@ def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """(doc, hs) from rows sorted by h: pieces that occur in several rows, and those matched before."""
     last: tuple[int, int, bool] | None = None
     for b in batches:
-        null = np.asarray(b.column(1).is_null())
+        null = np.asarray(b.column(0).is_null())
         if null.any():
             done = b.filter(pa.array(null))
-            yield pa.RecordBatch.from_arrays([done.column(2), done.column(3)], ["doc", "hs"])
-        h, doc = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False)[~null] for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([done.column(1), done.column(2)], ["doc", "hs"])
+        h, doc = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False)[~null] for i in (0, 1))
         if not len(h):
             continue
         seen = np.zeros(len(h) + 1, bool)
@@ -139,9 +139,9 @@ def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """(key, h, check, doc, pos, marked): windows over matched pieces, each from its smallest document here; or, where h is null, coordinates that are settled."""
+    """(h, check, doc, pos, marked): windows over matched pieces, each from its smallest document here; or, where h is null, coordinates that are settled."""
     held: list[tuple[np.ndarray, ...]] = []
-    names = ["key", "h", "check", "doc", "pos", "marked"]
+    names = ["h", "check", "doc", "pos", "marked"]
 
     def flush() -> Iterator[pa.RecordBatch]:
         h, check, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -152,11 +152,11 @@ def _send_windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -
         least = doc[np.flatnonzero(lead)][np.cumsum(lead) - 1] if len(h) else doc
         own = doc == least
         n = int(own.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(h[own].view(np.int64)), pa.array(check[own]), pa.array(doc[own]), pa.array(pos[own]), pa.nulls(n, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(check[own]), pa.array(doc[own]), pa.array(pos[own]), pa.nulls(n, pa.binary())], names)
         if n < len(h):
             d, marked = _lists(doc[~own], pos[~own])
             m = len(d)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(d.to_numpy().view(np.uint64)).view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), d, pa.nulls(m, pa.int32()), marked], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), d, pa.nulls(m, pa.int32()), marked], names)
 
     for b in batches:
         ids, known = _ids(b.column(0))
@@ -195,11 +195,11 @@ def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(doc, marked) from rows sorted by h, check and doc: coordinates of windows that start in a smaller document."""
     last: tuple[int, int, int] | None = None
     for b in batches:
-        null = np.asarray(b.column(1).is_null())
+        null = np.asarray(b.column(0).is_null())
         if null.any():
             done = b.filter(pa.array(null))
-            yield pa.RecordBatch.from_arrays([done.column(3), done.column(5)], ["doc", "marked"])
-        h, check, doc, pos = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False)[~null] for i in (1, 2, 3, 4))
+            yield pa.RecordBatch.from_arrays([done.column(2), done.column(4)], ["doc", "marked"])
+        h, check, doc, pos = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False)[~null] for i in (0, 1, 2, 3))
         if not len(h):
             continue
         lead = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
@@ -255,12 +255,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     digests = docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.md5(F.col(text_col))).alias("_d")).where("_id is not null and _d is not null")
     copies = digests.join(digests.groupBy("_d").agg(F.min("_id").alias("_least")), "_d").where("_id > _least").select("_id").distinct().withColumn("_copy", F.lit(True))
     marked_copies = base.join(copies.hint("shuffle_hash"), "_id", "left")
-    sent = marked_copies.select("_id", F.when(F.col("_copy").isNull(), F.col("_text")).alias("_text")).mapInArrow(functools.partial(_send_anchors, window=window, anchor=anchor), "key long, h long, doc long, hs binary")
-    matched = sent.repartition("key").sortWithinPartitions("h").mapInArrow(_match_anchors, "doc long, hs binary")
+    sent = marked_copies.select("_id", F.when(F.col("_copy").isNull(), F.col("_text")).alias("_text")).mapInArrow(functools.partial(_send_anchors, window=window, anchor=anchor), "h long, doc long, hs binary")
+    matched = sent.repartition(F.coalesce("h", "doc")).sortWithinPartitions("h").mapInArrow(_match_anchors, "doc long, hs binary")
     flags = matched.groupBy("doc").agg(_joined("hs").alias("hs"))
     flagged = marked_copies.join(flags.hint("shuffle_hash"), F.col("_id") == F.col("doc"), "left")
-    windows = flagged.select("_id", F.when(F.col("hs").isNotNull(), F.col("_text")).alias("_text"), "hs").mapInArrow(functools.partial(_send_windows, window=window, anchor=anchor), "key long, h long, check int, doc long, pos int, marked binary")
-    marks = windows.repartition("key").sortWithinPartitions("h", "check", "doc").mapInArrow(_mark_windows, "doc long, marked binary")
+    windows = flagged.select("_id", F.when(F.col("hs").isNotNull(), F.col("_text")).alias("_text"), "hs").mapInArrow(functools.partial(_send_windows, window=window, anchor=anchor), "h long, check int, doc long, pos int, marked binary")
+    marks = windows.repartition(F.coalesce("h", "doc")).sortWithinPartitions("h", "check", "doc").mapInArrow(_mark_windows, "doc long, marked binary")
     marks = marks.groupBy("doc").agg(_joined("marked").alias("marked"))
     last = marked_copies.join(marks.hint("shuffle_hash"), F.col("_id") == F.col("doc"), "left").select("_id", "_text", "marked", "_copy")
     return last.mapInArrow(functools.partial(_apply, window=window), "_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, words: long>>")
