@@ -20,7 +20,6 @@ by its first text's group; rows with a null id stay; ties go to the smaller id;
 from __future__ import annotations
 
 import functools
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +29,11 @@ from pyspark.sql import functions as F
 
 from .core import Words, chunks, cut, fresh, mix, shingles, small, within
 from .graph import components
-from .simhash import CROWDED, Tree, fingerprints
+from .simhash import Tree, fingerprints
 
 SHINGLE, RADIUS, BANDS, SKETCH, NAMED = 5, 22, 10, 256, 4
 SIMILARITY, UNSURE, SURE = 0.8, 0.7, 0.92
+CROWDED = 1_000
 _SALT = np.random.default_rng(21).integers(1, 1 << 63, (BANDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -68,12 +68,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(fp), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["digest", "_id", "fp", "bands", "sketch"])
 
 
-def estimate(a: list[int], sa: frozenset, b: list[int], sb: frozenset) -> float:
+def estimate(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity from bottom-k sketches: over the hashes below both sketches' ends."""
-    if not a or not b:
-        return float(not a and not b)
-    end = min(a[-1] if len(a) >= SKETCH else 1 << 32, b[-1] if len(b) >= SKETCH else 1 << 32)
-    n, m, common = bisect_right(a, end), bisect_right(b, end), len(sa & sb)
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    end = min(int(a[-1]) if len(a) >= SKETCH else 1 << 32, int(b[-1]) if len(b) >= SKETCH else 1 << 32)
+    n, m = (int(np.searchsorted(x, end, "right")) if end < 1 << 32 else len(x) for x in (a, b))
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
     return common / (n + m - common)
 
 
@@ -83,11 +86,9 @@ def _pairs(members: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bo
     order = range(len(members))
     crowded = len(members) > CROWDED
     if crowded:
-        u, at, n = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
-        usual = np.add.reduceat(n[at].astype(np.float64), np.r_[0, np.cumsum([len(s) for s in sketch])[:-1]]) / [max(1, len(s)) for s in sketch] if len(u) else np.zeros(len(members))
-        order = np.lexsort(([m[0] for m in members], -usual)).tolist()
-    plain = [s.tolist() for s in sketch]
-    sets = [frozenset(s) for s in plain]
+        u, n = np.unique(np.concatenate(sketch), return_counts=True)
+        usual = [float(n[np.searchsorted(u, s)].mean()) if len(s) else 0.0 for s in sketch]
+        order = np.lexsort(([m[0] for m in members], -np.array(usual))).tolist()
     tree, by, root = Tree(), {}, list(range(len(members)))
 
     def find(x: int) -> int:
@@ -102,7 +103,7 @@ def _pairs(members: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bo
             for y in by[f]:
                 if (crowded and stood) or find(x) == find(y):
                     continue
-                e = estimate(plain[x], sets[x], plain[y], sets[y])
+                e = estimate(sketch[x], sketch[y])
                 if e >= SURE:
                     root[find(x)] = find(y)
                     stood = True
