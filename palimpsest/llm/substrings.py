@@ -139,7 +139,7 @@ def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """(h, check, doc, pos, marked): windows over matched pieces, each from its smallest document here; or, where h is null, coordinates that are settled."""
+    """(h, check, doc, pos, marked): windows over matched pieces, each from its smallest document here, with its first place and, packed, the others; or, where h is null, coordinates that are settled."""
     held: list[tuple[np.ndarray, ...]] = []
     names = ["h", "check", "doc", "pos", "marked"]
 
@@ -150,11 +150,16 @@ def _send_windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -
         h, check, doc, pos = h[order], check[order], doc[order], pos[order]
         lead = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])] if len(h) else np.empty(0, bool)
         least = doc[np.flatnonzero(lead)][np.cumsum(lead) - 1] if len(h) else doc
-        own = doc == least
-        n = int(own.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(check[own]), pa.array(doc[own]), pa.array(pos[own]), pa.nulls(n, pa.binary())], names)
-        if n < len(h):
-            d, marked = _lists(doc[~own], pos[~own])
+        own = np.flatnonzero(doc == least)
+        first = np.flatnonzero(lead[own] | np.r_[True, h[own][1:] != h[own][:-1]] | np.r_[True, check[own][1:] != check[own][:-1]]) if len(own) else own
+        more = np.ones(len(own), bool)
+        more[first] = False
+        ends = np.r_[0, np.cumsum(more)][np.r_[first, len(own)]] * 4
+        rest = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(pos[own[more]]))])
+        at = own[first]
+        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(check[at]), pa.array(doc[at]), pa.array(pos[at]), rest], names)
+        if len(own) < len(h):
+            d, marked = _lists(np.delete(doc, own), np.delete(pos, own))
             m = len(d)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), d, pa.nulls(m, pa.int32()), marked], names)
 
@@ -199,7 +204,8 @@ def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if null.any():
             done = b.filter(pa.array(null))
             yield pa.RecordBatch.from_arrays([done.column(2), done.column(4)], ["doc", "marked"])
-        h, check, doc, pos = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False)[~null] for i in (0, 1, 2, 3))
+        b = b.filter(pa.array(~null))
+        h, check, doc, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3))
         if not len(h):
             continue
         lead = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
@@ -209,7 +215,11 @@ def _mark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         source = source[np.cumsum(lead) - 1]
         last = (h[-1], check[-1], source[-1])
         more = doc > source
-        d, marked = _lists(doc[more], pos[more])
+        others = b.column(4)
+        size = np.diff(np.frombuffer(others.buffers()[1], np.int32)[others.offset : others.offset + len(others) + 1])
+        rest = [(doc[i], np.frombuffer(others[int(i)].as_py(), np.int32)) for i in np.flatnonzero(more & (size > 0))]
+        doc, pos = (np.concatenate(x) for x in ((doc[more], *[np.full(len(p), d) for d, p in rest]), (pos[more], *[p for _, p in rest])))
+        d, marked = _lists(doc, pos)
         yield pa.RecordBatch.from_arrays([d, marked], ["doc", "marked"])
 
 
