@@ -139,12 +139,13 @@ def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
             return colour
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
-    """(node, cost, previous) by relaxing directed edges (u, v, w) from starts (node) until nothing improves; of equal costs the lower predecessor."""
+def shortest_paths(edges: DataFrame, starts: DataFrame, rounds: int, most: float | None = None) -> DataFrame:
+    """(node, cost, previous) by relaxing directed edges (u, v, w) from starts (node) until nothing improves; of equal costs the lower predecessor. Nodes that cost over `most` are left out, and not gone on from."""
     best = cut(starts.select("node", F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["u"].dataType).alias("previous")))
     frontier = best
     for _ in range(rounds):
         offer = frontier.join(edges, frontier["node"] == edges["u"]).select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("previous"))
+        offer = offer.where(F.col("cost") <= most) if most is not None else offer
         offer = offer.groupBy("node").agg(F.min(F.struct("cost", "previous")).alias("o")).select("node", "o.*")
         old = best.select("node", F.col("cost").alias("_c"), F.col("previous").alias("_p"))
         better = cut(offer.join(old, "node", "left").where(F.col("_c").isNull() | (F.col("cost") < F.col("_c")) | ((F.col("cost") == F.col("_c")) & (F.col("previous") < F.col("_p")))).select("node", "cost", "previous"))

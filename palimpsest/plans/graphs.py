@@ -110,7 +110,7 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _heap(spark, sf_dir).where("u <> v").withColumn("w", (1 + (F.col("u") * 7 + F.col("v") * 13) % 10).cast("double"))
     edges = graph.cut(h.union(h.select("v", "u", "w")).groupBy("u", "v").agg(F.min("w").alias("w")))
     start = table(spark, sf_dir, "customer").where("c_custkey = 1").select(F.col("c_custkey").alias("node"))
-    return graph.shortest_paths(edges, start, 1000).where("cost <= 14").select("node", "cost")
+    return graph.shortest_paths(edges, start, 1000, 14.0).select("node", "cost")
 
 
 def _rounds_sql(n: int, rate: list[float], extra: str = "") -> str:
