@@ -151,7 +151,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], t
 
 
 def filter_languages(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The documents with a recognised language whose score is at least `least`, with all their columns."""
+    """The documents with a recognised language whose score is at least `least`, with all their columns; all of them if nothing was learned to judge them by."""
+    if not profiles:
+        return docs
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = score_texts(b.column(b.schema.get_field_index(text_col)), profiles)

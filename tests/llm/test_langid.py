@@ -26,6 +26,7 @@ def test_odd_and_empty(odd, empty, spark):
     kept = langid.filter_languages(odd, profiles)
     assert kept.columns == odd.columns and not {4, 5, 6, 12} & {r.doc_id for r in kept.collect()}
     assert langid.fit(empty) == {}
+    assert langid.filter_languages(odd, {}).count() == odd.count()
     assert {r.lang_pred for r in langid.predict(odd, {}, ["doc_id"]).collect()} == {"und"}
     assert langid.predict(empty, profiles, ["doc_id"]).count() == 0
 
