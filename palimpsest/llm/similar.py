@@ -6,11 +6,13 @@ least shingle hashes instead. A document goes to BANDS shards, each named by its
 so that documents at the similarity share a shard with probability 1 - (1 - 0.8 ** 2) ** BANDS = 0.99996. Within a
 shard a BK-tree of the fingerprints finds what lies within RADIUS bits, and bottom-K sketches estimate the similarity
 (exactly, for up to SKETCH shingles). Pairs of SURE similarity link; pairs about the threshold are verified on full
-shingle sets, at most NAMED a document and shard, the most similar first. Equal texts are one from the start, and
-sketches are sent to shards that hold several documents only.
+shingle sets: a document first names at most NAMED in a shard, the most similar first. One that named not all is compared with
+all the rest in a second pass, which gets the groups found so far and the full sets: in each shard, whatever isn't in
+its group yet is verified, so nothing is lost. Equal texts are one from the start, and sketches are sent to shards that
+hold several documents only.
 
 A shard over CROWDED documents orders them by how usual their shingles are in it, so that what the others derive from
-comes first, and its tree takes only documents that no earlier one stands for.
+comes first, names half as many pairs, and its tree takes only documents that no earlier one stands for.
 
 Defined cases: a null text is a text of its own kind, equal to other nulls only; texts with fewer words than a shingle
 are one shingle; texts without words form one group; rows sharing an id count as one document and stay or go together,
@@ -20,7 +22,7 @@ by its first text's group; rows with a null id stay; ties go to the smaller id;
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ from .simhash import Tree, fingerprints
 
 SHINGLE, RADIUS, BANDS, SKETCH, NAMED = 5, 22, 10, 256, 4
 SIMILARITY, UNSURE, SURE = 0.8, 0.7, 0.92
-CROWDED = 1_000
+CROWDED, FEW = 1_000, 8
+MORE, ASK, LINK = range(3)
 _SALT = np.random.default_rng(21).integers(1, 1 << 63, (BANDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -80,58 +83,128 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return common / (n + m - common)
 
 
-def _pairs(members: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bool]]:
-    """(u, v, sure) of one shard."""
-    sketch = [np.frombuffer(s, np.uint32) for _, _, s in members]
-    order = range(len(members))
-    crowded = len(members) > CROWDED
-    if crowded:
-        u, n = np.unique(np.concatenate(sketch), return_counts=True)
-        usual = [float(n[np.searchsorted(u, s)].mean()) if len(s) else 0.0 for s in sketch]
-        order = np.lexsort(([m[0] for m in members], -np.array(usual))).tolist()
-    tree, by, root = Tree(), {}, list(range(len(members)))
+class _Shard:
+    """A shard's sketches, and which of its documents are known to be one group."""
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def __init__(self, sketches: list[bytes], group: np.ndarray) -> None:
+        self.sketch = [np.frombuffer(s, np.uint32) for s in sketches]
+        self.group = group
+        self.ranks: np.ndarray | None = None
 
+    def _rank(self) -> None:
+        """Hashes by their rank in the shard, so that a table of one document's serves for comparing it with many."""
+        size = np.array([len(s) for s in self.sketch])
+        u, at = np.unique(np.concatenate(self.sketch), return_inverse=True)
+        self.unlike = len(u)
+        self.ranks = np.full((len(size), SKETCH), self.unlike, np.int32)
+        self.ranks[np.arange(SKETCH) < size[:, None]] = at
+        self.end = np.where(size >= SKETCH, self.ranks[:, -1], self.unlike - 1)
+        self.has = np.zeros(self.unlike + 1, bool)
+
+    def usual(self) -> np.ndarray:
+        """How many documents of the shard share a document's hashes, on average."""
+        u, at, n = np.unique(np.concatenate(self.sketch), return_inverse=True, return_counts=True)
+        size = np.array([len(s) for s in self.sketch])
+        return np.bincount(np.repeat(np.arange(len(size)), size), n[at], minlength=len(size)) / np.maximum(size, 1)
+
+    def estimates(self, x: int, ys: np.ndarray) -> np.ndarray:
+        if len(ys) <= FEW or not len(self.sketch[x]):
+            return np.array([estimate(self.sketch[x], self.sketch[y]) for y in ys.tolist()])
+        if self.ranks is None:
+            self._rank()
+        own = self.ranks[x, : len(self.sketch[x])]
+        self.has[own] = True
+        r, end = self.ranks[ys], np.minimum(self.end[ys], self.end[x])
+        inside = r <= end[:, None]
+        common, m, n = (self.has[r] & inside).sum(1), inside.sum(1), np.searchsorted(own, end, "right")
+        self.has[own] = False
+        return common / (n + m - common)
+
+    def near(self, x: int, ys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(documents, estimates) of those of ys that aren't of x's group by then, in blocks."""
+        take = FEW
+        while len(ys := ys[self.group[ys] != self.group[x]]):
+            part, ys, take = ys[:take], ys[take:], min(8 * take, 4_096)
+            yield part, self.estimates(x, part)
+
+    def join(self, x: int, y: int) -> None:
+        self.group[self.group == self.group[x]] = self.group[y]
+
+
+def _earlier(order: list[int], fps: list[int], without: set[int] = frozenset()) -> Iterator[tuple[int, np.ndarray]]:
+    """Each document, and those before it within RADIUS bits, in that order."""
+    tree, by = Tree(), {}
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     for x in order:
-        fp, near, stood = members[x][1] & (1 << 64) - 1, [], False
-        for f in tree.near(fp, RADIUS):
-            for y in by[f]:
-                if (crowded and stood) or find(x) == find(y):
-                    continue
-                e = estimate(sketch[x], sketch[y])
-                if e >= SURE:
-                    root[find(x)] = find(y)
-                    stood = True
-                    yield members[x][0], members[y][0], True
-                elif e >= UNSURE:
-                    near.append((-e, y))
-        for e, y in sorted(near)[:NAMED]:
-            if find(x) != find(y):
-                if -e >= SIMILARITY:
-                    stood = True
-                yield members[x][0], members[y][0], False
-        if not (crowded and stood):
-            if fp in by:
-                by[fp].append(x)
-            else:
-                by[fp] = [x]
-                tree.add(fp)
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, sure) from rows (band, _id, fp, sketch) sorted by band."""
+        fp = fps[x] & (1 << 64) - 1
+        ys = np.array([y for f in tree.near(fp, RADIUS) for y in by[f]], np.int64)
+        yield x, ys[np.argsort(place[ys])]
+        if x in without:
+            continue
+        if fp in by:
+            by[fp].append(x)
+        else:
+            by[fp] = [x]
+            tree.add(fp)
+
+
+def _pairs(members: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
+    """(u, v, kind) of one shard: kind is LINK, or ASK of a pair to be verified, or MORE if u has others of that kind that aren't named."""
+    ids, fps, sketches = zip(*members, strict=True)
+    shard, most, order = _Shard(sketches, np.arange(len(members))), NAMED, list(range(len(members)))
+    if len(members) > CROWDED:
+        most, order = NAMED // 2, np.lexsort((ids, -shard.usual())).tolist()
+    crowded, stood = len(members) > CROWDED, set()
+    for x, ys in _earlier(order, fps, stood):
+        unsure, about = [], []
+        for part, e in shard.near(x, ys):
+            for y in part[e >= SURE].tolist():
+                if shard.group[x] != shard.group[y]:
+                    shard.join(x, y)
+                    if crowded:
+                        stood.add(x)
+                    yield ids[x], ids[y], LINK
+            ask = (e >= UNSURE) & (e < SURE)
+            unsure.append(part[ask])
+            about.append(e[ask])
+        if unsure:
+            y, e = np.concatenate(unsure), np.concatenate(about)
+            y = y[np.lexsort((y, -e))]
+            y = y[shard.group[y] != shard.group[x]]
+            if crowded and (e >= SIMILARITY).any():
+                stood.add(x)
+            for v in y[:most].tolist():
+                yield ids[x], ids[v], MORE if len(y) > most else ASK
+
+
+def _rest(members: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links (u, v) between groups, of one shard's (id, fp, sketch, group, asked, bands, set): all pairs of an asked document are compared, each in the first shard that holds both."""
+    ids, fps, sketches, group, asked, bands, sets = zip(*members, strict=True)
+    shard, asked, bands = _Shard(sketches, np.array(group)), np.array(asked), np.array(bands)
+    own = int((bands == bands[0]).all(0).argmax())
+    sets = [np.frombuffer(s, np.uint64) for s in sets]
+    for x, ys in _earlier(list(range(len(members))), fps):
+        if not asked[x]:
+            ys = ys[asked[ys]]
+        ys = ys[shard.group[ys] != shard.group[x]]
+        ys = ys[(bands[ys] == bands[x]).argmax(1) == own]
+        for part, e in shard.near(x, ys):
+            for y in part[np.argsort(-e, kind="stable")][: int((e >= UNSURE).sum())].tolist():
+                if shard.group[x] != shard.group[y] and _alike(sets[x], sets[y]):
+                    shard.join(x, y)
+                    yield ids[x], ids[y]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], work: Callable[[list[tuple]], Iterator[tuple]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What the work finds in each shard, from rows (band, its columns) sorted by band."""
     shard, members, found = None, [], []
 
     def out() -> Iterator[pa.RecordBatch]:
         if found:
-            u, v, sure = zip(*found, strict=True)
+            cols = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
             found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure, pa.bool_())], ["u", "v", "sure"])
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     for b in batches:
         if not b.num_rows:
@@ -142,16 +215,24 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (s, e) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
             if shard != band[s]:
                 if len(members) > 1:
-                    found.extend(_pairs(members))
+                    found.extend(work(members))
                 shard, members = band[s], []
             if e - s > 1 or members or i == len(start) - 1:
-                members.extend(zip(*(b.column(k)[s:e].to_pylist() for k in (1, 2, 3)), strict=True))
+                members.extend(zip(*(b.column(k)[s:e].to_pylist() for k in range(1, b.num_columns)), strict=True))
         yield from out()
     if len(members) > 1:
-        found.extend(_pairs(members))
+        found.extend(work(members))
     yield from out()
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sorted sets have the similarity."""
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+    return 5 * common >= 4 * (len(x) + len(y) - common)
+
+
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [s.tobytes() for _, _, buf, off in chunks(b.column(1)) for s in _sets(buf, off)]
@@ -162,12 +243,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(5 * common >= 4 * (len(x) + len(y) - common))
+            keep.append(_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["u", "v"])
 
 
+def _others(first: DataFrame, dealt: DataFrame, more: DataFrame, group: DataFrame, full: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v): what the documents in more (_id, asked) link to besides their group. Their shards get full sets."""
+    bands = dealt.join(small(more, 500_000), "_id").select("band").distinct()
+    open_ = cut(dealt.join(small(cut(bands), 500_000), "band", "left_semi").select("band", "_id"))
+    ids = cut(open_.select("_id").distinct())
+    named = ids.join(first.select("_id", "fp", "sketch", "bands"), "_id").join(group, F.col("_id") == F.col("vertex"), "left").join(more, "_id", "left")
+    known = named.select("_id", "fp", "sketch", F.coalesce("component", "_id").alias("group"), F.coalesce("asked", F.lit(False)).alias("asked"), "bands")
+    ready = open_.join(known.join(full(ids).withColumnRenamed("id", "_id"), "_id"), "_id").select("band", "_id", "fp", "sketch", "group", "asked", "bands", "set")
+    return ready.repartition("band").sortWithinPartitions("band").mapInArrow(functools.partial(_shards, work=_rest, names=["u", "v"]), "u long, v long")
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_gone, _kept): documents that go, and the least id of their group."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.when(F.col(text_col).isNotNull(), F.unhex(F.md5(text_col))).otherwise(F.lit("null").cast("binary")).alias("digest"))
@@ -177,16 +267,23 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = first.where(F.col("digest") != F.lit("null").cast("binary")).select(F.explode("bands").alias("band"), "_id")
     shared = keys.groupBy("band").count().where("count > 1").select("band")
     dealt = keys.join(shared, "band", "left_semi").join(first.select("_id", "fp", "sketch"), "_id").select("band", "_id", "fp", "sketch")
-    found = dealt.repartition("band").sortWithinPartitions("band").mapInArrow(_shards, "u long, v long, sure boolean")
-    found = cut(found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("sure").alias("sure")))
-    unsure = found.where("not sure").select("u", "v")
-    wanted = unsure.select("u").union(unsure.select("v")).distinct()
-    texts = rows.select("_id", "text").join(small(wanted.select(F.col("u").alias("_id")), 500_000), "_id").dropDuplicates(["_id"])
-    sets = texts.mapInArrow(_full, "id long, set binary")
-    sets = cut(sets)
+    found = cut(dealt.repartition("band").sortWithinPartitions("band").mapInArrow(functools.partial(_shards, work=_pairs, names=["u", "v", "kind"]), "u long, v long, kind long"))
+    more = found.where(F.col("kind") == MORE).select(F.col("u").alias("_id")).distinct()
+    found = cut(found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("kind").alias("kind")))
+    unsure = found.where(F.col("kind") < LINK).select("u", "v")
+
+    def full(wanted: DataFrame) -> DataFrame:
+        """(id, set) of the wanted _id."""
+        return rows.select("_id", "text").join(small(wanted, 500_000), "_id").dropDuplicates(["_id"]).mapInArrow(_full, "id long, set binary")
+
+    sets = cut(full(unsure.select(F.col("u").alias("_id")).union(unsure.select("v")).distinct()))
     both = unsure.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
-    links = found.where("sure").select("u", "v").union(both.select("u", "v", "x", "y").mapInArrow(_verify, "u long, v long"))
+    links = cut(found.where(F.col("kind") == LINK).select("u", "v").union(both.select("u", "v", "x", "y").mapInArrow(_verify, "u long, v long")))
     group = components(links)
+    more = cut(more.withColumn("asked", F.lit(True)))
+    if not more.isEmpty():
+        links = links.union(cut(_others(first, dealt, more, group, full)))
+        group = components(links)
     named = ids.join(first.select("digest", F.col("_id").alias("_first")), "digest").join(group, F.col("_first") == F.col("vertex"), "left")
     return named.select(F.col("_id").alias("_gone"), F.coalesce("component", "_first").alias("_kept")).where("_gone <> _kept")
 

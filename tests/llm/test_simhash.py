@@ -126,3 +126,31 @@ def test_one_crowded_shard():
 def test_fingerprints_of_slices():
     col = pa.array(["a b c d", None, "", "A B  C\nD"]).slice(1)
     assert simhash.fingerprints(col).tolist() == [0, 0, fingerprint("a b c d")]
+
+
+def replaced(rng, words, *runs):
+    """The words with new ones in the given runs (from, number); a run of m words changes m + 4 shingles."""
+    words = list(words)
+    for a, m in runs:
+        words[a : a + m] = [f"n{rng.getrandbits(40)}" for _ in range(m)]
+    return words
+
+
+def test_partners_beyond_the_named(spark):
+    """A true partner among many just below the similarity is found, on texts whose sketches only estimate."""
+    rng = random.Random(5)
+    docs = []
+    for _ in range(8):
+        base, family = [f"b{rng.getrandbits(40)}" for _ in range(1004)], []
+        for _ in range(120):
+            at = rng.sample(range(10, 990, 6), 13)
+            family.append((at, replaced(rng, base, *[(a, 1) for a in at])))
+        at, like = family[rng.randrange(120)]
+        near = replaced(rng, base, *[(a, 1) for a in rng.sample(range(7, 990, 6), 11)])
+        for a in at[:2]:
+            near[a] = like[a]
+        docs += [*[w for _, w in family], near]
+    sets = [(i // 121, shingles(" ".join(w))) for i, w in enumerate(docs)]
+    want = set(grouped(sets, lambda a, b: a[0] == b[0] and 9 * len(a[1] & b[1]) >= 4 * (len(a[1]) + len(b[1]))))
+    kept = {r.doc_id for r in similar.dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert len(want) < len(docs) and kept == want
