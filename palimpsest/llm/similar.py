@@ -11,8 +11,9 @@ all the rest in a second pass, which gets the groups found so far and the full s
 its group yet is verified, so nothing is lost. Equal texts are one from the start, and sketches are sent to shards that
 hold several documents only.
 
-A shard over CROWDED documents orders them by how usual their shingles are in it, so that what the others derive from
-comes first, names half as many pairs, and its tree takes only documents that no earlier one stands for.
+Every document stays in its shard's tree; only pairs that links have already joined aren't compared. A shard over
+CROWDED documents orders them by how usual their shingles are in it, so that what the others derive from comes first and
+links are found early, and names half as many pairs at first.
 
 Defined cases: a null text is a text of its own kind, equal to other nulls only; texts with fewer words than a shingle
 are one shingle; texts without words form one group; rows sharing an id count as one document and stay or go together,
@@ -131,7 +132,7 @@ class _Shard:
         self.group[self.group == self.group[x]] = self.group[y]
 
 
-def _earlier(order: list[int], fps: list[int], without: set[int] = frozenset()) -> Iterator[tuple[int, np.ndarray]]:
+def _earlier(order: list[int], fps: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """Each document, and those before it within RADIUS bits, in that order."""
     tree, by = Tree(), {}
     place = np.empty(len(order), np.int64)
@@ -140,8 +141,6 @@ def _earlier(order: list[int], fps: list[int], without: set[int] = frozenset())
         fp = fps[x] & (1 << 64) - 1
         ys = np.array([y for f in tree.near(fp, RADIUS) for y in by[f]], np.int64)
         yield x, ys[np.argsort(place[ys])]
-        if x in without:
-            continue
         if fp in by:
             by[fp].append(x)
         else:
@@ -155,15 +154,12 @@ def _pairs(members: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, in
     shard, most, order = _Shard(sketches, np.arange(len(members))), NAMED, list(range(len(members)))
     if len(members) > CROWDED:
         most, order = NAMED // 2, np.lexsort((ids, -shard.usual())).tolist()
-    crowded, stood = len(members) > CROWDED, set()
-    for x, ys in _earlier(order, fps, stood):
+    for x, ys in _earlier(order, fps):
         unsure, about = [], []
         for part, e in shard.near(x, ys):
             for y in part[e >= SURE].tolist():
                 if shard.group[x] != shard.group[y]:
                     shard.join(x, y)
-                    if crowded:
-                        stood.add(x)
                     yield ids[x], ids[y], LINK
             ask = (e >= UNSURE) & (e < SURE)
             unsure.append(part[ask])
@@ -172,8 +168,6 @@ def _pairs(members: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, in
             y, e = np.concatenate(unsure), np.concatenate(about)
             y = y[np.lexsort((y, -e))]
             y = y[shard.group[y] != shard.group[x]]
-            if crowded and (e >= SIMILARITY).any():
-                stood.add(x)
             for v in y[:most].tolist():
                 yield ids[x], ids[v], MORE if len(y) > most else ASK
 

@@ -136,6 +136,27 @@ def replaced(rng, words, *runs):
     return words
 
 
+def similarity(a, b):
+    a, b = shingles(" ".join(a)), shingles(" ".join(b))
+    return len(a & b) / len(a | b)
+
+
+def test_chains_in_a_crowded_shard(spark):
+    """Near copies of near copies are found among over CROWDED copies of what the first derive from."""
+    rng = random.Random(3)
+    docs = []
+    base = [f"b{rng.getrandbits(40)}" for _ in range(304)]
+    for _ in range(similar.CROWDED + 20):
+        docs.append(replaced(rng, base, (rng.randrange(10, 290), 4)))
+    for _ in range(30):
+        x = replaced(rng, base, (rng.randrange(10, 130), 16))
+        z = replaced(rng, x, (rng.randrange(150, 280), 18))
+        assert similarity(x, base) > 0.86 and similarity(x, z) > 0.82 and similarity(z, base) < 0.8
+        docs += [x, z]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    assert [r.doc_id for r in similar.dedup(df).collect()] == [0]
+
+
 def test_partners_beyond_the_named(spark):
     """A true partner among many just below the similarity is found, on texts whose sketches only estimate."""
     rng = random.Random(5)
