@@ -17,7 +17,8 @@ the input, not on what is left, so that order and retries don't matter.
 
 Groups are compared in blocks of bounded size. Defined cases: a null text has no lines and stays null; empty lines
 stay; rows with a null id keep all lines and match none; a document's own lines match each other; rows sharing an id
-act as one document whose lines follow its place within each row; an empty table gives no rows; other columns are kept.
+act as one document, the rows' lines after each other by text (then by the other columns), at most PLACES of
+them; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .core import Words, chunks, cut, fresh, mix, shingles, small, within
@@ -38,7 +39,7 @@ NUM, DEN = 4, 5
 BUCKETS, SLICES = 1 << 18, 16
 HELD, BLOCK = 600_000, 512
 NAMED, WIDE, DOCUMENTS = 4, 4, 500_000
-_CLIP = (1 << 18) - 1
+_CLIP, PLACES = (1 << 18) - 1, 1 << 27
 
 
 def _by_line(line: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -163,6 +164,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
 
     for b in batches:
         ids, known = b.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.asarray(b.column(0).is_valid())
+        skip = b.column(2).to_numpy(zero_copy_only=False)
         for a, _, buf, off in chunks(b.column(1)):
             x = _Lines(buf, off, counts)
             ok = known[a + x.doc]
@@ -170,7 +172,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
                 kept = ok[x.line]
                 x.tokens, x.line = x.tokens[kept], (np.cumsum(ok) - 1)[x.line[kept]]
                 x.doc, x.place = x.doc[ok], x.place[ok]
-            held.append((x.tokens, x.line, ids[a + x.doc], x.place))
+            held.append((x.tokens, x.line, ids[a + x.doc], x.place + skip[a + x.doc]))
             if sum(len(t[0]) for t in held) >= HELD:
                 yield from flush()
     if held:
@@ -299,19 +301,19 @@ def _name(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordB
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, line, tokens, odd) of the wanted lines of each document: packed sorted tokens, and a parity sketch of 64 * WIDE bits."""
     for b in batches:
-        ids, wanted = b.column(0).to_pylist(), b.column(2).to_pylist()
+        ids, wanted, skip = (b.column(i).to_pylist() for i in (0, 3, 2))
         for a, e, buf, off in chunks(b.column(1)):
             x = _Lines(buf, off)
             head = np.searchsorted(x.line, np.arange(len(x.doc) + 1))
             out: list[tuple] = []
             for i in range(e - a):
                 lo, hi = np.searchsorted(x.doc, [i, i + 1])
-                for w in set(wanted[a + i]):
-                    if w < hi - lo:
+                for line in set(wanted[a + i]):
+                    if 0 <= (w := line - skip[a + i]) < hi - lo:
                         t = x.tokens[head[lo + w] : head[lo + w + 1]]
                         bits = np.zeros(64 * WIDE, np.int64)
                         np.add.at(bits, (t & np.uint64(64 * WIDE - 1)).astype(np.int64), 1)
-                        out.append((ids[a + i], w, t.tobytes(), np.packbits((bits & 1).astype(np.uint8)).tobytes()))
+                        out.append((ids[a + i], line, t.tobytes(), np.packbits((bits & 1).astype(np.uint8)).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc", "line", "tokens", "odd"])
 
@@ -328,9 +330,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(k), b.column(1).filter(k)], ["y_doc", "y_line"])
 
 
-def _strip(batches: Iterator[pa.RecordBatch], text_at: int, gone_at: int) -> Iterator[pa.RecordBatch]:
+def _strip(batches: Iterator[pa.RecordBatch], text_at: int, skip_at: int, gone_at: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        text, gone = b.column(text_at), b.column(gone_at).to_pylist()
+        text, skip, gone = b.column(text_at), b.column(skip_at).to_pylist(), b.column(gone_at).to_pylist()
         new, lines, removed = [None] * b.num_rows, [0] * b.num_rows, [0] * b.num_rows
         for a, e, buf, off in chunks(text):
             x = _Lines(buf, off, places=True) if any(gone[a:e]) else None
@@ -341,8 +343,8 @@ def _strip(batches: Iterator[pa.RecordBatch], text_at: int, gone_at: int) -> Ite
                 if gone[a + i]:
                     lo, hi = np.searchsorted(x.doc, [i, i + 1])
                     out, at = [], int(off[i])
-                    for w in sorted(set(gone[a + i])):
-                        if w < hi - lo:
+                    for line in sorted(set(gone[a + i])):
+                        if 0 <= (w := line - skip[a + i]) < hi - lo:
                             out.append(raw[at : int(x.start[lo + w])])
                             at = int(x.stop[lo + w])
                             removed[a + i] += 1
@@ -351,14 +353,34 @@ def _strip(batches: Iterator[pa.RecordBatch], text_at: int, gone_at: int) -> Ite
                         one = one[:-1]
                 new[a + i] = one.decode()
         valid = text.is_valid().to_pylist()
-        cols = [pa.array([t if v else None for t, v in zip(new, valid, strict=True)], pa.string()) if i == text_at else c for i, c in enumerate(b.columns) if i != gone_at]
-        names = [n for i, n in enumerate(b.schema.names) if i != gone_at]
+        cols = [pa.array([t if v else None for t, v in zip(new, valid, strict=True)], pa.string()) if i == text_at else c for i, c in enumerate(b.columns) if i not in (skip_at, gone_at)]
+        names = [n for i, n in enumerate(b.schema.names) if i not in (skip_at, gone_at)]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, "_lines", "_removed"])
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, skip: str) -> DataFrame:
+    """docs and skip: where a row's places start, after those of the rows of its id before it."""
+    one = F.lit(0).cast("long").alias(skip)
+    key = fresh("_many", docs.columns)
+    many = cut(docs.select(F.col(f"`{id_col}`").cast("long").alias(key)).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    if many.isEmpty():
+        return docs.select("*", one)
+    own, many = F.col(f"`{id_col}`").cast("long"), small(many, DOCUMENTS)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    order = Window.partitionBy(own).orderBy(text, F.to_json(F.struct("*"))).rowsBetween(Window.unboundedPreceding, 0)
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
+    total = F.sum(lines).over(order)
+    start = F.when(total <= PLACES, total - lines).otherwise(F.raise_error(F.lit("rows sharing an id hold too many lines")))
+    again = docs.join(many, own == F.col(f"`{key}`"), "left_semi").select("*", start.alias(skip))
+    return docs.join(many, own == F.col(f"`{key}`"), "left_anti").select("*", one).union(again)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the texts' later lines removed, and _lines and _removed, the numbers of all and of removed lines (own columns of those names give way)."""
-    plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    names = [c for c in docs.columns if c not in ("_lines", "_removed")]
+    skip = fresh("_skip", docs.columns)
+    placed = _placed(docs.select(*[F.col(f"`{c}`") for c in names]), id_col, text_col, skip)
+    plain = placed.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.col(skip).alias("_skip"))
     counts = rarity(plain, "_text")
     kind = "h long, doc long, shape long, form long, gone int"
     rows = plain.mapInArrow(functools.partial(_prefixes, counts=counts), kind).repartition(F.coalesce("h", "doc")).sortWithinPartitions("h")
@@ -366,7 +388,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     exact = met.where("h is null").select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"))
     near = met.where("h is not null").join(exact.distinct(), (F.col("doc") == F.col("y_doc")) & (F.col("line") == F.col("y_line")), "left_anti")
     wanted = small(cut(near.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_wanted"))), DOCUMENTS)
-    sets = plain.join(wanted, F.col("_id") == F.col("_doc")).select("_id", "_text", "_wanted").mapInArrow(_sets, "doc long, line long, tokens binary, odd binary")
+    sets = plain.join(wanted, F.col("_id") == F.col("_doc")).select("_id", "_text", "_skip", "_wanted").mapInArrow(_sets, "doc long, line long, tokens binary, odd binary")
     sets = cut(sets.groupBy("doc", "line").agg(F.max("tokens").alias("tokens"), F.max("odd").alias("odd")))
 
     def named(asked: DataFrame | None) -> DataFrame:
@@ -393,11 +415,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         gone = gone.union(cut(verified(named(left))))
     key, list_ = fresh("_doc", docs.columns), fresh("_gone", docs.columns)
     by = small(cut(gone.groupBy(F.col("y_doc").alias(key)).agg(F.collect_set("y_line").alias(list_))), DOCUMENTS)
-    names = [c for c in docs.columns if c not in ("_lines", "_removed")]
-    plain_docs = docs.select(*[F.col(f"`{c}`") for c in names])
-    ready = plain_docs.join(by, F.col(f"`{id_col}`") == F.col(f"`{key}`"), "left").drop(key)
-    schema = ", ".join(f"`{c}` {t}" for c, t in plain_docs.dtypes)
-    return ready.mapInArrow(functools.partial(_strip, text_at=names.index(text_col), gone_at=len(names)), schema + ", _lines long, _removed long")
+    ready = placed.join(by, F.col(f"`{id_col}`") == F.col(f"`{key}`"), "left").drop(key)
+    schema = ", ".join(f"`{c}` {t}" for c, t in placed.dtypes if c != skip)
+    return ready.mapInArrow(functools.partial(_strip, text_at=names.index(text_col), skip_at=len(names), gone_at=len(names) + 1), schema + ", _lines long, _removed long")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,17 @@ def test_odd_and_empty(odd, empty, odd_rows):
     assert by[13]._removed == 1 and by[6].text == " \t\n " and by[9]._removed == 2
     assert all(r.text == odd_rows[0][1] for r in kept if r.doc_id is None and r.text)
     assert lines.dedup(empty).count() == 0
+
+
+def test_rows_sharing_an_id(spark):
+    """One copy of each line stays, within a task and across tasks."""
+    a, b, c = ("\n".join(f"{k} {i} " + " ".join(f"{k}{i}{j}" for j in range(6)) for i in range(3)) for k in "abc")
+    docs = [(1, a), (1, a), (2, b), (2, b + "\n" + a), (2, c), (3, c), (1, "few words"), (2, None), (None, a)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        got = [(r.doc_id, r.text) for r in lines.dedup(df).collect() if r.doc_id is not None and r.text is not None]
+        assert sorted(got) == sorted(brute([d for d in docs if None not in d]))
+
+
+def test_odd_rows_sharing_an_id(odd):
+    assert sorted(r.text for r in lines.dedup(odd).collect() if r.doc_id == 11) == ["", "Only Five Words Are Here"]
