@@ -189,9 +189,10 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The length and positional filters for sets of n and m tokens that share their tokens at and to; and the overlap needed."""
+    """The length and positional filters for sets of n and m tokens that share their tokens at and to, and the overlap needed; sets of clipped size pass."""
     need = -(-NUM * (n + m) // (NUM + DEN))
-    return (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (np.minimum(n - at, m - to) >= need), need
+    most = np.maximum(n, m)
+    return (NUM * most <= DEN * np.minimum(n, m)) & (np.minimum(n - at, m - to) >= need) | (most >= _CLIP), need
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:

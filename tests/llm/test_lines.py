@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 from palimpsest.llm import lines
 
@@ -74,3 +75,9 @@ def test_rows_sharing_an_id(spark):
 
 def test_odd_rows_sharing_an_id(odd):
     assert sorted(r.text for r in lines.dedup(odd).collect() if r.doc_id == 11) == ["", "Only Five Words Are Here"]
+
+
+def test_filters_of_clipped_sizes():
+    clip = lines._CLIP
+    n, at, m, to = (np.array(x) for x in ([clip, clip, 200_000], [111_000, 5, 50_000], [clip, 230_000, 200_000], [clip, 5, 50_000]))
+    assert lines._fits(n, np.minimum(at, clip), m, to)[0].tolist() == [True, True, False]
