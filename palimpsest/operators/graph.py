@@ -95,7 +95,7 @@ def bipartite_groups(edges: DataFrame, left: str, right: str) -> DataFrame:
     return by.select("component", "lefts", "rights", kind.alias("kind"))
 
 
-def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(vertex, component) of cyclic strongly connected components, loops included; named by their least vertex.
 
     Colours spread forwards until each vertex has the least vertex that reaches it; within a colour, what reaches its
@@ -104,7 +104,7 @@ def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     e = cut(edges.select("u", "v").where("u is not null and v is not null").distinct())
     loops = e.where("u = v").select("u")
     e, out = e.where("u <> v"), None
-    for _ in range(rounds):
+    while True:
         e = cut(e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
         if e.isEmpty():
             break

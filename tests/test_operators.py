@@ -243,3 +243,11 @@ def test_diagnostics(spark):
 @pytest.mark.parametrize("f", [lambda s: graph.components(s), lambda s: graph.strong_components(s), lambda s: graph.degrees(s)])
 def test_empty_graphs(f, spark):
     assert f(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_strong_components_of_many_rounds(spark):
+    """Each round peels the least of 52 cycles, all of which lead to all later ones."""
+    pairs = [(2 * i, 2 * i + 1) for i in range(52)]
+    e = [x for u, v in pairs for x in ((u, v), (v, u))] + [(2 * i, 2 * j) for i in range(52) for j in range(i + 1, 52)]
+    got = rows(graph.strong_components(spark.createDataFrame(e, "u long, v long")))
+    assert got == [(v, v // 2 * 2) for v in range(104)]
