@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Vectors are projected at random onto a few axes, shifted, and ordered by Hilbert key, once for each curve. Every
-ordering is cut at quantiles into equal key ranges; a query meets the rows of its own range and of the neighbouring
-ones. What the curves find merges, and is ranked by exact Euclidean distance in double precision.
+Vectors are projected at random onto a few axes, shifted, and ordered by Hilbert key, once for each curve. Spark sorts
+(curve, key) by range, which gives every row its rank on every curve; a query meets the rows within `window` ranks of
+its own on each. Not the vectors are sorted but codes of them, one byte an axis; the best by code merge over the curves
+and are ranked by exact Euclidean distance in double precision.
 
-Windows are a fixed part of each ordering, as high-dimensional data without clusters needs for the stated recall (0.9
-at the defaults; the tests measure it). Work is so (queries x rows) x about 0.6; larger tables with clusters can use
-more blocks. A range holding many rows, or many queries, is dealt to several groups; no group exceeds ROWS x QUERIES.
+The window is a number of rows, found by measuring: the true neighbours of PROBES rows are computed against all rows, and
+the window is the least that would find TARGET of them. Clustered vectors get short windows whatever the table's size;
+vectors without structure need windows that grow with the table (README has figures). Orderings are cut into blocks of at
+most BLOCK rows, and queries come to them in a stream, so that no task holds more than a block.
+
+Of rows that share a vector the k + 1 least ids are kept as candidates, which is exact: no query can return more of them.
 
 Defined cases: vectors that are null, zero, or hold nulls or non-finite values take no part, nor do rows without an id
 or whose vector has not the most common length; equal distances rank by smaller id; of rows repeating an id the
-nearest counts; with few rows there is one range, so that the search is exact; an empty table gives no rows.
+nearest counts; tables of up to EXACT rows are searched whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import cut, small
+from .core import cut
 
-CURVES, AXES, BITS, BLOCKS, REACH, SAMPLE = 12, 6, 8, 40, 2, 10_000
-ROWS, QUERIES = 4096, 512
+CURVES, AXES, BITS, SAMPLE = 32, 8, 6, 10_000
+PROBES, TARGET, EXACT = 100, 0.95, 1_000
+CODE, KEEP, BLOCK = 64, 5, 4_096
+_ROW = (1 << 33) - 1
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -63,34 +69,104 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], frames: np.ndarray, mean: np.ndarray, std: np.ndarray) -> Iterator[pa.RecordBatch]:
-    shift = np.random.default_rng(8).random((len(frames), frames.shape[2]))
+class _Space:
+    """How vectors become keys and codes; fitted on a bounded sample."""
+
+    def __init__(self, sample: np.ndarray, curves: int) -> None:
+        dim = sample.shape[1]
+        self.frames = _frames(dim, curves, AXES)
+        shown = np.einsum("nd,cda->cna", sample, self.frames)
+        self.mean, self.std = shown.mean(1), shown.std(1) + 1e-12
+        self.shift = np.random.default_rng(8).random((curves, self.frames.shape[2]))
+        self.turn = np.linalg.qr(np.random.default_rng(9).normal(size=(dim, dim)))[0][:, :CODE]
+        self.middle = (sample @ self.turn).mean(0)
+        self.scale = 120 / (np.abs(sample @ self.turn - self.middle).max() + 1e-12)
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """(rows, curves): the curve's number above its Hilbert key."""
+        out = np.empty((len(x), len(self.frames)), np.int64)
+        for c, frame in enumerate(self.frames):
+            y = ((x @ frame - self.mean[c]) / self.std[c] + 3 + self.shift[c]) / 7 * (1 << BITS)
+            out[:, c] = hilbert_keys(np.clip(y, 0, (1 << BITS) - 1).astype(np.int64), BITS) | c << AXES * BITS
+        return out
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint((x @ self.turn - self.middle) * self.scale), -127, 127).astype(np.int8)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], space: _Space) -> Iterator[pa.RecordBatch]:
+    """From rows (_id, _vec, _query, _row): one for each curve, with key and code."""
+    curves = len(space.frames)
     for b in batches:
-        if not b.num_rows:
-            continue
-        x = _matrix(b.column(1))
-        out = []
-        for c, frame in enumerate(frames):
-            y = ((x @ frame - mean[c]) / std[c] + 4 + shift[c]) / 9 * (1 << BITS)
-            out.append(pa.array(hilbert_keys(np.clip(y, 0, (1 << BITS) - 1).astype(np.int64), BITS)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["_id", "_vec", *[f"k{c}" for c in range(len(frames))]])
-
-
-def _nearest(key: tuple, table: pa.Table, k: int) -> pa.Table:
-    """The k nearest rows of each query of one group."""
-    ids, x, query = table["_id"].to_numpy(), _matrix(table["_vec"]), table["_query"].to_numpy().astype(bool)
-    rows, found = np.flatnonzero(~query), []
-    rows = rows[np.argsort(ids[rows], kind="stable")]
-    block = x[rows]
-    for i in np.flatnonzero(query) if len(rows) else ():
-        d = np.sqrt(((block - x[i]) ** 2).sum(1))
-        d[ids[rows] == ids[i]] = np.inf
-        near = np.argsort(d, kind="stable")[: 4 * k] if len(d) <= 4 * k else np.flatnonzero(d <= np.partition(d, k)[k])
-        near = near[np.lexsort((ids[rows[near]], d[near]))]
-        near = near[np.isfinite(d[near])][:k]
-        found.append((np.full(len(near), ids[i]), ids[rows[near]], d[near]))
-    q, v, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(d, pa.float64())})
+        for at in range(0, b.num_rows, 1_000):
+            part = b.slice(at, 1_000)
+            x = _matrix(part.column(1))
+            each = lambda i: pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), curves))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(space.keys(x).ravel()), each(0), each(2), each(3), _binary(np.repeat(space.codes(x), curves, 0))], ["_key", "_id", "_query", "_row", "_code"])
+
+
+def _square(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of y to each of x."""
+    return (y * y).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * y @ x.T
+
+
+def _best(d: np.ndarray, k: int) -> np.ndarray:
+    """The places of each line's k smallest."""
+    return np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+
+
+def _probed(batches: Iterator[pa.RecordBatch], ids: np.ndarray, probes: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(probe, id, d): the nearest rows of this task to each probe."""
+    near, far = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+    for b in batches:
+        for at in range(0, b.num_rows, 2_000):
+            own, x = b.column(0)[at : at + 2_000].to_numpy(), _matrix(b.column(1)[at : at + 2_000])
+            d = _square(x, probes)
+            d[own[None] == ids[:, None]] = np.inf
+            near, far = np.hstack((near, np.broadcast_to(own, d.shape))), np.hstack((far, d))
+            best = _best(far, k)
+            near, far = np.take_along_axis(near, best, 1), np.take_along_axis(far, best, 1)
+    keep = np.isfinite(far)
+    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], near.shape)[keep]), pa.array(near[keep]), pa.array(far[keep])], ["_probe", "_id", "_d"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], n: int, window: int, keep: int) -> Iterator[pa.RecordBatch]:
+    """From rows (block, ask, rank, _id, _code) sorted by block and ask: (query_id, vec_id, d) of the rows within the window that are nearest by code."""
+    block, rows, held = None, [], None
+    for b in batches:
+        of, ask = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        edge = np.r_[np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (ask[1:] != ask[:-1])]), len(of)] if len(of) else []
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            if of[s] != block:
+                block, rows, held = of[s], [], None
+            part = b.slice(s, e - s)
+            here = [part.column(i).to_numpy() for i in (2, 3)] + [np.frombuffer(b"".join(part.column(4).to_pylist()), np.int8).reshape(e - s, -1).astype(np.float32)]
+            if not ask[s]:
+                rows.append(here)
+                continue
+            if not rows:
+                continue
+            held = held or [np.concatenate(x) for x in zip(*rows, strict=True)]
+            for at in range(0, e - s, 256):
+                rank, own, y = (x[at : at + 256] for x in here)
+                d = _square(held[2], y)
+                d[(np.abs(held[0][None] - rank[:, None]) > window) | (held[0][None] // n != rank[:, None] // n) | (held[1][None] == own[:, None])] = np.inf
+                best = _best(d, keep)
+                far = np.take_along_axis(d, best, 1)
+                ok = np.isfinite(far)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(own[:, None], best.shape)[ok]), pa.array(held[1][best][ok]), pa.array(far[ok].astype(np.float64))], ["query_id", "vec_id", "d"])
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            score = np.sqrt(((_matrix(b.column(2)) - _matrix(b.column(3))) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def usable(vec: Column) -> Column:
@@ -98,40 +174,64 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & finite & F.exists(vec, lambda v: v != 0), F.lit(False))
 
 
-def _block(key: str, cuts: list[float]) -> Column:
-    """The number of cuts below a key."""
-    at = F.lit(0)
-    for x in sorted(set(cuts)):
-        at = at + (F.col(key) > F.lit(int(x))).cast("int")
-    return at
-
-
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, curves: int = CURVES, blocks: int = BLOCKS, reach: int = REACH) -> DataFrame:
-    """query_id, rank, vec_id and score of the k rows nearest to each row for which is_query holds."""
+def _ranked(index: DataFrame, space: _Space) -> DataFrame:
+    """(_id, _query, _row, _code, rank): ranks count on from curve to curve."""
+    keyed = index.mapInArrow(functools.partial(_keyed, space=space), "_key long, _id long, _query boolean, _row boolean, _code binary")
+    rows = cut(keyed.repartitionByRange("_key", "_code", "_id").sortWithinPartitions("_key", "_code", "_id").select("_id", "_query", "_row", "_code", F.monotonically_increasing_id().alias("_m")))
+    part = F.shiftright("_m", 33)
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect())
+    start = np.cumsum([0, *[n for _, n in sizes]]).tolist()
+    starts = index.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, start, strict=False)], "_part long, _start long")
+    return rows.join(F.broadcast(starts), part == F.col("_part")).select("_id", "_query", "_row", "_code", (F.col("_start") + F.col("_m").bitwiseAND(F.lit(_ROW))).alias("rank"))
+
+
+def fit_window(index: DataFrame, ranked: DataFrame, n: int, k: int, target: float = TARGET) -> int:
+    """The least window of 4 * k or more that finds the target share of the true neighbours of PROBES rows."""
+    probes = index.orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(PROBES).select("_id", "_vec").collect()
+    ids, x = np.array([r[0] for r in probes]), np.array([r[1] for r in probes], np.float64)
+    order = Window.partitionBy("_probe").orderBy("_d", "_id")
+    near = index.where("_row").select("_id", "_vec").mapInArrow(functools.partial(_probed, ids=ids, probes=x, k=k), "_probe long, _id long, _d double")
+    true = [(r[0], r[1]) for r in near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).collect()]
+    if not true:
+        return n
+    wanted = index.sparkSession.createDataFrame([(i,) for i in sorted({i for p in true for i in p})], "_id long")
+    rank: dict[int, dict[int, list[int]]] = {}
+    for r in ranked.join(F.broadcast(wanted), "_id").select("_id", "rank").collect():
+        rank.setdefault(r[0], {}).setdefault(r[1] // n, []).append(r[1])
+    gaps = sorted(min(abs(a - b) for c, xs in rank[p].items() for a in xs for b in rank[i].get(c, [])) for p, i in true)
+    return max(4 * k, gaps[min(len(gaps) - 1, int(target * len(gaps)))])
+
+
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, curves: int = CURVES, target: float = TARGET, window: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of the k rows nearest to each row for which is_query holds; the window is measured unless given."""
     spark = vectors.sparkSession
     base = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"), F.coalesce(is_query, F.lit(False)).alias("_query"))
-    sizes = {r["n"]: r["count"] for r in base.groupBy(F.size("_vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()}
+    sizes = base.groupBy(F.size("_vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    (dim, total), = sizes.items()
-    base = base.where(F.size("_vec") == dim)
-    frames = _frames(dim, curves, AXES)
-    sample = np.array([r[0] for r in base.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_vec").collect()])
-    shown = np.einsum("nd,cda->cna", sample, frames)
-    mean, std = shown.mean(1), shown.std(1) + 1e-12
-    keyed = base.select("_id", "_vec").mapInArrow(functools.partial(_keys, frames=frames, mean=mean, std=std), "_id long, _vec array<double>, " + ", ".join(f"k{c} long" for c in range(curves)))
-    count = int(max(1, min(blocks, total // 64)))
-    cuts = keyed.approxQuantile([f"k{c}" for c in range(curves)], [i / count for i in range(1, count)], 0.002) if count > 1 else [[] for _ in range(curves)]
-    place = F.array(*[F.struct(F.lit(c).alias("curve"), _block(f"k{c}", cuts[c]).alias("block")) for c in range(curves)])
-    placed = keyed.select("_id", "_vec", F.explode(place).alias("at")).select("_id", "_vec", "at.*")
-    asked = base.where("_query").select("_id", "_vec").mapInArrow(functools.partial(_keys, frames=frames, mean=mean, std=std), keyed.schema)
-    asked = asked.select("_id", "_vec", F.explode(place).alias("at")).select("_id", "_vec", "at.curve", F.explode(F.sequence(F.col("at.block") - reach, F.col("at.block") + reach)).alias("block"))
-    deal = placed.groupBy("curve", "block").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("rows_in")).join(asked.groupBy("curve", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("queries_in")), ["curve", "block"])
-    deal = small(cut(deal))
-    part = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
-    row = placed.join(deal, ["curve", "block"]).select("_id", "_vec", F.lit(0).alias("_query"), "curve", "block", part("_id", "rows_in").alias("r"), F.explode(F.sequence(F.lit(0), F.col("queries_in") - 1)).alias("q"))
-    ask = asked.join(deal, ["curve", "block"]).select("_id", "_vec", F.lit(1).alias("_query"), "curve", "block", F.explode(F.sequence(F.lit(0), F.col("rows_in") - 1)).alias("r"), part("_id", "queries_in").alias("q"))
-    found = row.unionByName(ask).groupBy("curve", "block", "r", "q").applyInArrow(lambda key, table: _nearest(key, table, k), "query_id long, vec_id long, score double")
+    once = base.where(F.size("_vec") == sizes[0]["n"]).groupBy("_vec", "_id").agg(F.max("_query").alias("_query"))
+    copy = F.row_number().over(Window.partitionBy("_vec").orderBy("_id"))
+    lead = once.withColumn("_copy", copy).where(F.col("_copy") <= k + 1).select("_id", "_vec", F.lit(False).alias("_query"), F.lit(True).alias("_row"))
+    asks = once.where("_query").select("_id", "_vec", "_query", F.lit(False).alias("_row"))
+    index = cut(lead.union(asks))
+    n = index.count()
+    sample = np.array([r[0] for r in index.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_vec").collect()], np.float64)
+    ranked = _ranked(index, _Space(sample, curves if n > EXACT else 1))
+    if n <= EXACT:
+        window = n
+    elif window is None:
+        window = fit_window(index, ranked, n, k, target)
+    size = min(max(window, 256), BLOCK)
+    low, high = F.expr(f"rank div {n} * {n}"), F.expr(f"(rank div {n} + 1) * {n} - 1")
+    rows = ranked.where("_row").select(F.expr(f"rank div {size}").alias("block"), F.lit(0).alias("ask"), "rank", "_id", "_code")
+    reach = F.sequence(F.floor(F.greatest(low, F.col("rank") - window) / size), F.floor(F.least(high, F.col("rank") + window) / size))
+    ask = ranked.where("_query").select(F.explode(reach).alias("block"), F.lit(1).alias("ask"), "rank", "_id", "_code")
+    met = rows.union(ask).repartition("block").sortWithinPartitions("block", "ask").mapInArrow(functools.partial(_meet, n=n, window=window, keep=2 * k), "query_id long, vec_id long, d double")
+    close = met.groupBy("query_id", "vec_id").agg(F.min("d").alias("d"))
+    close = close.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("r") <= KEEP * k).select("query_id", "vec_id")
+    x = index.where("_query").select(F.col("_id").alias("query_id"), F.col("_vec").alias("x"))
+    y = index.where("_row").select(F.col("_id").alias("vec_id"), F.col("_vec").alias("y"))
+    found = close.join(x, "query_id").join(y, "vec_id").select("query_id", "vec_id", "x", "y").mapInArrow(_exact, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -57,3 +57,21 @@ def test_one_common_vector(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     out = curves.search(df, F.col("vec_id") == 5000).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in out] == [(i, 0.0) for i in range(10)]
+
+
+def test_windows_follow_the_structure(spark):
+    """Clustered vectors need a small part of the table, and are found; every row is a candidate."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12_000, 24)) * 0.1 + rng.normal(size=(600, 24))[rng.integers(0, 600, 12_000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    fit, curves.fit_window = curves.fit_window, lambda *a: seen.append(fit(*a)) or seen[-1]
+    try:
+        got = {}
+        for r in curves.search(df, F.col("vec_id") % 100 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+    finally:
+        curves.fit_window = fit
+    assert 2 * seen[0] * curves.CURVES < 0.6 * len(x)
+    want = brute(np.arange(len(x)), x, range(0, len(x), 100), 10)
+    assert np.mean([len(got[q] & {a for a, _ in want[q]}) / 10 for q in want]) >= 0.9
