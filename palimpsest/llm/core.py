@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..shared import cut, shared_folder, small
 
-__all__ = ["CHUNK_BYTES", "WORD", "Words", "chunks", "cut", "fresh", "mix", "shared_folder", "shingles", "small", "text_buffer", "within"]
+__all__ = ["CHUNK_BYTES", "WORD", "Words", "chunks", "cut", "fresh", "light", "mix", "sequences", "shared_folder", "shingles", "small", "text_buffer", "within"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1_000_000
@@ -52,6 +54,8 @@ class _Powers:
 
 
 _WORDS = _Powers(_Q)
+#: For hashes of words' beginnings, in toxicity: powers, and a value for each byte, A-Z as a-z.
+_BYTES, _FOLDED = _Powers(_P), np.random.default_rng(12).integers(1, _M64, 256, dtype=np.uint64)[_FOLD]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,6 +129,21 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[: len(h) - k + 1] + np.uint64(k))
 
 
+def sequences(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k of the hashes h from each place; what shingles gives there."""
+    up, _ = _WORDS.to(k)
+    total = np.full(len(at), k, np.uint64)
+    for i in range(k):
+        total += h[at + i] * up[i]
+    return mix(total)
+
+
+def light(df: DataFrame, items: Column, rows: int = 500_000, most: int = 4_000_000) -> DataFrame:
+    """df with a broadcast hint if it was counted to hold at most so many rows, and so many items in all; else unchanged."""
+    n, m = df.agg(F.count("*"), F.coalesce(F.sum(items), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and m <= most else df
+
+
 def within(first: np.ndarray, k: int) -> np.ndarray:
     """The positions where k words of one text start, given each text's word range."""
     n = int(first[-1])

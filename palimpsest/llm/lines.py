@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are the set of its SHINGLE-word pieces, A-Z lower-cased; lines of fewer words take no part and stay. A
-line goes if an earlier line, by (document id, place), has Jaccard similarity >= SIMILARITY with it; all is judged on
+A line's tokens are the set of its SHINGLE-word pieces, A-Z lower-cased; a line of fewer words is one piece. A line
+goes if an earlier line, by (document id, place), has Jaccard similarity >= SIMILARITY with it; all is judged on
 the input, not on what is left, so that order and retries don't matter.
 
 1. Rarity. A count-min sketch of fixed size counts all tokens; tokens are ordered by (count, hash). Any total order
@@ -15,8 +15,8 @@ the input, not on what is left, so that order and retries don't matter.
 4. Verification. Candidates' token sets are compared exactly. A line that named not all its candidates and has found
    no match names all of them in a second pass, so nothing is lost.
 
-Groups are compared in blocks of bounded size. Defined cases: a null text has no lines and stays null; empty lines
-stay; rows with a null id keep all lines and match none; a document's own lines match each other; rows sharing an id
+Groups are compared in blocks of bounded size. Defined cases: a null text has no lines and stays null; lines
+without words stay; rows with a null id keep all lines and match none; a document's own lines match each other; rows sharing an id
 act as one document, the rows' lines after each other by text (then by the other columns), at most PLACES of
 them; an empty table gives no rows; other columns are kept.
 """
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import Words, chunks, cut, fresh, mix, shingles, small, within
+from .core import Words, chunks, cut, fresh, light, mix, sequences, shingles, small, within
 
 SHINGLE = 5
 #: Similarity as a fraction of integers: 4 / 5.
@@ -50,7 +50,7 @@ def _by_line(line: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 class _Lines:
-    """Of a chunk of texts, the lines of SHINGLE words or more and their distinct tokens, ordered by rarity if counts are given, else by hash. plain: all tokens alone; places: the lines alone."""
+    """Of a chunk of texts, the lines with words and their distinct tokens, ordered by rarity if counts are given, else by hash. plain: all tokens alone; places: the lines alone."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None = None, plain: bool = False, places: bool = False) -> None:
         words = Words(buf, offsets, fold=True)
@@ -61,7 +61,7 @@ class _Lines:
         ends = np.flatnonzero(buf == 10) + 1
         cuts = np.unique(np.concatenate((offsets, ends)))
         first = np.searchsorted(words.starts, cuts)
-        ids = np.flatnonzero(np.diff(first) >= SHINGLE)
+        ids = np.flatnonzero(np.diff(first))
         if not len(ids):
             return
         if not plain:
@@ -70,8 +70,13 @@ class _Lines:
             self.start, self.stop = cuts[ids], cuts[ids + 1]
         if places:
             return
-        at = within(first, SHINGLE)
-        tokens = shingles(words.hashes(), SHINGLE)[at]
+        at, h = within(first, SHINGLE), words.hashes()
+        tokens, size = [shingles(h, SHINGLE)[at]], np.diff(first)
+        for k in range(1, SHINGLE):
+            short = first[:-1][size == k]
+            tokens.append(sequences(h, short, k))
+            at = np.r_[at, short]
+        tokens = np.concatenate(tokens)
         if plain:
             self.tokens = tokens
             return
@@ -269,8 +274,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[g]) for x in (h, doc, shape >> 36, n, at)], names)
 
 
-def _name(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """(x_doc, x_line, y_doc, y_line, whole) from rows (h, doc, line, n, at, odd, asked) sorted by h, doc and line: each asked line's first NAMED candidates, or all of them."""
+def _name(batches: Iterator[pa.RecordBatch], every: bool, most: int) -> Iterator[pa.RecordBatch]:
+    """(x_doc, x_line, y_doc, y_line, whole) from rows (h, doc, line, n, at, odd, asked) sorted by h, doc and line: each asked line's first `most` candidates, or all of them."""
     for t in _whole_groups(batches, 0):
         h, doc, line, n, at = (t[c].to_numpy() for c in ("h", "doc", "line", "n", "at"))
         odd = np.frombuffer(b"".join(t["odd"].to_pylist()), np.uint64).reshape(-1, WIDE)
@@ -288,8 +293,8 @@ def _name(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordB
                     near = np.flatnonzero(ok)
                     far = np.bitwise_count(odd[j][near] ^ odd[y]).sum(1, dtype=np.int64)
                     near = near[far <= n[j][near] + n[y] - 2 * need[near]]
-                    whole = every or named + len(near) <= NAMED
-                    out.extend((q + x, y, whole) for x in (near if every else near[: max(0, NAMED - named)]).tolist())
+                    whole = every or named + len(near) <= most
+                    out.extend((q + x, y, whole) for x in (near if every else near[: max(0, most - named)]).tolist())
                     named += len(near)
                     if not whole:
                         out[-1] = (out[-1][0], y, False)
@@ -388,7 +393,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     met = cut(rows.mapInArrow(_meet, "h long, doc long, line long, n long, at long"))
     exact = met.where("h is null").select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"))
     near = met.where("h is not null").join(exact.distinct(), (F.col("doc") == F.col("y_doc")) & (F.col("line") == F.col("y_line")), "left_anti")
-    wanted = small(cut(near.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_wanted"))), DOCUMENTS)
+    wanted = light(cut(near.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_wanted"))), F.size("_wanted"), DOCUMENTS)
     sets = plain.join(wanted, F.col("_id") == F.col("_doc")).select("_id", "_text", "_skip", "_wanted").mapInArrow(_sets, "doc long, line long, tokens binary, odd binary")
     sets = cut(sets.groupBy("doc", "line").agg(F.max("tokens").alias("tokens"), F.max("odd").alias("odd")))
 
@@ -400,7 +405,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         else:
             ready = ready.join(asked.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.lit(True).alias("asked")), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
         ready = ready.select("h", "doc", "line", "n", "at", "odd", "asked").repartition("h").sortWithinPartitions("h", "doc", "line")
-        pairs = ready.mapInArrow(functools.partial(_name, every=asked is not None), "x_doc long, x_line long, y_doc long, y_line long, whole boolean")
+        pairs = ready.mapInArrow(functools.partial(_name, every=asked is not None, most=NAMED), "x_doc long, x_line long, y_doc long, y_line long, whole boolean")
         return cut(pairs.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.min("whole").alias("whole")))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -415,7 +420,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if not left.isEmpty():
         gone = gone.union(cut(verified(named(left))))
     key, list_ = fresh("_doc", docs.columns), fresh("_gone", docs.columns)
-    by = small(cut(gone.groupBy(F.col("y_doc").alias(key)).agg(F.collect_set("y_line").alias(list_))), DOCUMENTS)
+    by = light(cut(gone.groupBy(F.col("y_doc").alias(key)).agg(F.collect_set("y_line").alias(list_))), F.size(list_), DOCUMENTS)
     ready = placed.join(by, F.col(f"`{id_col}`") == F.col(f"`{key}`"), "left").drop(key)
     schema = ", ".join(f"`{c}` {t}" for c, t in placed.dtypes if c != skip)
     return ready.mapInArrow(functools.partial(_strip, text_at=names.index(text_col), skip_at=len(names), gone_at=len(names) + 1), schema + ", _lines long, _removed long")
