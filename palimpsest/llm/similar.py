@@ -16,8 +16,8 @@ CROWDED documents orders them by how usual their shingles are in it, so that wha
 links are found early, and names half as many pairs at first.
 
 Defined cases: a null text is a text of its own kind, equal to other nulls only; texts with fewer words than a shingle
-are one shingle; texts without words form one group; rows sharing an id count as one document and stay or go together,
-by its first text's group; rows with a null id stay; ties go to the smaller id; an empty table stays empty.
+are one shingle; texts without words form one group; rows sharing an id are judged each by its own text (those of equal texts count as
+one); of a group the row of least id stays, then of least digest; rows with a null id stay; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .core import Words, chunks, cut, fresh, mix, shingles, small, within
@@ -252,12 +252,19 @@ def _others(first: DataFrame, dealt: DataFrame, more: DataFrame, group: DataFram
     return ready.repartition("band").sortWithinPartitions("band").mapInArrow(functools.partial(_shards, work=_rest, names=["u", "v"]), "u long, v long")
 
 
+def _digest(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.unhex(F.substring(F.sha2(text, 256), 1, 32))).otherwise(F.lit("null").cast("binary"))
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_gone, _kept): documents that go, and the least id of their group."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.when(F.col(text_col).isNotNull(), F.unhex(F.md5(text_col))).otherwise(F.lit("null").cast("binary")).alias("digest"))
+    """(_gone, _digest, _kept): rows that go, by id and text, and the id that stays for them.
+
+    Inside, each distinct text is a vertex with a number of its own, called _id; _doc is the least id that has it.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _digest(F.col(text_col)).alias("digest"))
     signed = rows.mapInArrow(_signatures, "digest binary, _id long, fp long, bands array<long>, sketch binary")
-    ids = rows.groupBy("_id").agg(F.min("digest").alias("digest"))
-    first = cut(signed.groupBy("digest").agg(F.min(F.struct("_id", "fp", "bands", "sketch")).alias("s")).select("digest", "s.*"))
+    first = signed.groupBy("digest").agg(F.min(F.struct("_id", "fp", "bands", "sketch")).alias("s"))
+    first = cut(first.select("digest", F.monotonically_increasing_id().alias("_id"), F.col("s._id").alias("_doc"), "s.fp", "s.bands", "s.sketch"))
     keys = first.where(F.col("digest") != F.lit("null").cast("binary")).select(F.explode("bands").alias("band"), "_id")
     shared = keys.groupBy("band").count().where("count > 1").select("band")
     dealt = keys.join(shared, "band", "left_semi").join(first.select("_id", "fp", "sketch"), "_id").select("band", "_id", "fp", "sketch")
@@ -268,7 +275,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def full(wanted: DataFrame) -> DataFrame:
         """(id, set) of the wanted _id."""
-        return rows.select("_id", "text").join(small(wanted, 500_000), "_id").dropDuplicates(["_id"]).mapInArrow(_full, "id long, set binary")
+        owner = small(first.join(wanted, "_id").select(F.col("_id").alias("_v"), F.col("_doc").alias("_id"), "digest"), 500_000)
+        return rows.join(owner, ["_id", "digest"]).dropDuplicates(["_v"]).select("_v", "text").mapInArrow(_full, "id long, set binary")
 
     sets = cut(full(unsure.select(F.col("u").alias("_id")).union(unsure.select("v")).distinct()))
     both = unsure.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
@@ -278,12 +286,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         links = links.union(cut(_others(first, dealt, more, group, full)))
         group = components(links)
-    named = ids.join(first.select("digest", F.col("_id").alias("_first")), "digest").join(group, F.col("_first") == F.col("vertex"), "left")
-    return named.select(F.col("_id").alias("_gone"), F.coalesce("component", "_first").alias("_kept")).where("_gone <> _kept")
+    of = first.join(group, F.col("_id") == F.col("vertex"), "left").select("digest", "_doc", F.coalesce("component", "_id").alias("_group"))
+    least = of.groupBy("_group").agg(F.min(F.struct("_doc", "digest")).alias("s")).select("_group", F.col("s._doc").alias("_kept"), F.col("s.digest").alias("_stays"))
+    named = rows.select("_id", "digest").distinct().join(of.join(least, "_group").select("digest", "_kept", "_stays"), "digest")
+    return named.where("_id <> _kept or digest <> _stays").select(F.col("_id").alias("_gone"), F.col("digest").alias("_digest"), "_kept")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns."""
-    key = fresh("_gone", docs.columns)
-    gone = small(cut(representatives(docs, id_col, text_col).select(F.col("_gone").alias(key))), 500_000)
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"`{key}`"), "left_anti")
+    key, text = fresh("_gone", docs.columns), fresh("_digest", docs.columns)
+    gone = small(cut(representatives(docs, id_col, text_col).select(F.col("_gone").alias(key), F.col("_digest").alias(text))), 500_000)
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col(f"`{key}`")) & (_digest(F.col(f"`{text_col}`")) == F.col(f"`{text}`")), "left_anti")

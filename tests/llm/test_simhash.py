@@ -100,6 +100,14 @@ def test_documents_at_the_similarity(spark, corpus):
     assert kept == {docs[i][0] for i in set(want)}
 
 
+def test_rows_sharing_an_id_are_judged_by_their_own_text(spark, corpus):
+    texts = [" ".join(f"{k}{j}" for j in range(40)) for k in "abcd"]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[1] + " more"), (4, texts[2]), (4, texts[3]), (4, texts[3] + " more"), (4, texts[2]), (5, texts[2])]
+    kept = sorted((r.doc_id, r.text) for r in similar.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    either = [r for r in kept if r[1].startswith(texts[3])]
+    assert len(either) == 1 and [r for r in kept if r not in either] == sorted([(1, texts[0]), (2, texts[1]), (4, texts[2]), (4, texts[2])])
+
+
 def test_documents_odd_and_empty(odd, empty, odd_rows):
     kept = similar.dedup(odd)
     assert kept.columns == odd.columns
