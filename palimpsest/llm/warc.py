@@ -12,14 +12,18 @@ Bundles are written under a name of the attempt's own and renamed, and their fin
 the task, so that a task that is run again replaces its bundle by an equal one. Paths go through Arrow's filesystems:
 the folder can be local, mounted, or in a store.
 
+Rows are told apart by their place in the scan, so the input has to give the same rows when it is read again, as tables do.
+
 Defined cases: a null payload is empty; a null url is written as `urn:page:<id>`; rows with a null id get records
-without an id that are returned with null; rows sharing an id are written as separate records (the first to be the
-response of its id, by the payload's digest); an empty table makes no bundle and no rows; extra columns are never read.
+without an id that are returned with null, and are responses only if no row with an id has their payload; of several
+rows that share the least id and the payload, one is the response and the others revisit it; an empty table makes no
+bundle and no rows; extra columns are never read.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 import hashlib
 import struct
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .core import cut, shared_folder
 
-FRAME, BUNDLE = 1 << 18, 1 << 27
+FRAME, BUNDLE, SALTS = 1 << 18, 1 << 27, 8
 #: Fixed values of the seekable format: the skippable frame's magic number and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
@@ -44,19 +48,21 @@ def record_urn(key: int | None) -> str:
     return f"<urn:page:{'unknown' if key is None else key}>"
 
 
-def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, again: bool | None = None) -> bytes:
+    """A response, or a revisit of the page refers_to (again: also if that is unknown)."""
+    again = refers_to is not None if again is None else again
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http + payload if refers_to is None else http
+    block = http if again else http + payload
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Type: {'revisit' if again else 'response'}",
         f"WARC-Record-ID: {record_urn(key)}",
         f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + ("".join(url.split()) if url and url.split() else f"urn:page:{key}"),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"Content-Type: application/http;msgtype=response\r\nContent-Length: {len(block)}",
     ]
-    if refers_to is not None:
+    if again:
         head.insert(5, f"WARC-Refers-To: {record_urn(refers_to)}\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -139,7 +145,7 @@ def read_record(path: str, frame: int, offset: int, length: int) -> tuple[dict[s
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """The index rows (_id, bundle, frame, offset, length) of the records (_id, url, payload, digest, refers_to) written."""
+    """The index rows (_id, bundle, frame, offset, length) of the records (_id, url, payload, digest, refers_to, again) written."""
     system, base = fs.FileSystem.from_uri(folder)
     bundle, rows, name = Bundle(), [], hashlib.sha1()
 
@@ -160,53 +166,66 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
     for b in batches:
         for i in range(b.num_rows):
-            key, url, payload, digest, refers = (b.column(k)[i].as_py() for k in range(5))
+            key, url, payload, digest, refers, again = (b.column(k)[i].as_py() for k in range(6))
             name.update(f"{key}|{digest}\n".encode())
-            rows.append((key, bundle.add(record(key, url, (payload or "").encode(), base64.b32encode(bytes.fromhex(digest)).decode(), refers))))
+            rows.append((key, bundle.add(record(key, url, (payload or "").encode(), base64.b32encode(bytes.fromhex(digest)).decode(), refers, again))))
             if bundle.at >= BUNDLE:
                 yield from close()
     yield from close()
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, payload_bytes, payload_digest, record_type, refers_to) of all records in the bundles; responses' payloads are held against their digests."""
+    """(_id, payload_bytes, payload_digest, record_type, refers_to) of the records at rows (_id, bundle, frame, offset, length) sorted by place; responses' payloads are held against their digests. One bundle and one frame are open at a time."""
     urn = lambda x: None if x.endswith(":unknown>") else int(x[len("<urn:page:") : -1])
-    for b in batches:
-        for path in b.column(0).to_pylist():
-            system, name = fs.FileSystem.from_uri(path)
-            with system.open_input_file(name) as f:
-                for entry in seek_table(f):
-                    out = []
-                    for _, head, block in parse(read_frame(f, entry)):
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        size = int(http.rpartition(b"Content-Length: ")[2])
-                        if head["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-                            raise ValueError(f"{path}: payload of {head['WARC-Record-ID']} is not what was written")
-                        refers = head.get("WARC-Refers-To")
-                        out.append((urn(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers and urn(refers)))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+    with contextlib.ExitStack() as stack:
+        path, at, table, data = None, None, [], b""
+        for b in batches:
+            out = []
+            for key, bundle, frame, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bundle != path:
+                    stack.close()
+                    system, name = fs.FileSystem.from_uri(bundle)
+                    file = stack.enter_context(system.open_input_file(name))
+                    path, at, table = bundle, None, seek_table(file)
+                if frame != at:
+                    at, data = frame, read_frame(file, table[frame])
+                _, head, block = next(parse(data[offset : offset + length]))
+                http, _, payload = block.partition(b"\r\n\r\n")
+                digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                size = int(http.rpartition(b"Content-Length: ")[2])
+                if urn(head["WARC-Record-ID"]) != key:
+                    raise ValueError(f"{path}: the record of {key} is not where the index has it")
+                if head["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+                    raise ValueError(f"{path}: payload of {head['WARC-Record-ID']} is not what was written")
+                refers = head.get("WARC-Refers-To")
+                out.append((key, size, digest, head["WARC-Type"], refers and urn(refers)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Writes a record per row to bundles in the folder (a URI or path); returns the index, already computed.
 
-    Payloads stay in the tasks that read them: only (id, digest) rows are shuffled to find what revisits what, and
-    they come back by id and digest.
+    What revisits what is found from narrow rows (place, id, digest); a digest that many rows share is dealt to SALTS
+    tasks. The outcome comes back to the payloads by a join on the row's place, which shuffles them once and evenly.
     """
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
     text = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("size"))
-    first = rows.where((F.col("size") >= least_bytes) & F.col("_id").isNotNull()).groupBy("digest").agg(F.min("_id").alias("first"))
-    keyed = rows.select("_id", "digest").join(first, "digest").where("_id <> first").select(F.col("_id").alias("_k"), F.col("digest").alias("_d"), F.col("first").alias("refers_to")).distinct()
-    full = rows.join(keyed.hint("shuffle_hash"), (F.col("_id") == F.col("_k")) & (F.col("digest") == F.col("_d")), "left")
-    return cut(full.select("_id", "url", "payload", "digest", "refers_to").mapInArrow(functools.partial(_write, folder=folder), "_id long, bundle string, frame long, offset long, length long"))
+    rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("size"), F.monotonically_increasing_id().alias("_t"))
+    narrow = rows.select("_id", "digest", "size", "_t", F.pmod("_t", F.lit(SALTS)).alias("_salt")).where(F.col("size") >= least_bytes)
+    first = narrow.groupBy("digest", "size").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_t")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("digest", "size", F.col("f._id").alias("refers_to"), F.col("f._t").alias("_first"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    keyed = narrow.join(first, ["digest", "size", "_salt"]).where("_t <> _first").select(F.col("_t").alias("_k"), "refers_to")
+    full = rows.join(keyed.hint("shuffle_hash"), F.col("_t") == F.col("_k"), "left")
+    out = full.select("_id", "url", "payload", "digest", "refers_to", F.col("_k").isNotNull().alias("again"))
+    return cut(out.mapInArrow(functools.partial(_write, folder=folder), "_id long, bundle string, frame long, offset long, length long"))
 
 
 def read(index: DataFrame) -> DataFrame:
-    """What the bundles of an index hold, a row per record."""
-    return index.select("bundle").distinct().mapInArrow(_read, "_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    """The records that an index names, a row each, read by their places: the footer, then the frames that hold them."""
+    places = index.select("_id", "bundle", "frame", "offset", "length").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    return places.mapInArrow(_read, "_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -225,13 +244,13 @@ WITH p AS (
 ), b AS (
   SELECT *, array_to_string(list_transform(string_split(hex, ''),
     lambda x: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', x)]), '') AS bits,
-    min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM p
+    min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first, row_number() OVER (PARTITION BY hex, payload_bytes ORDER BY page_id NULLS LAST) AS n FROM p
 )
 SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST(1 + 16 * CAST(substr(bits, i * 5 + 1, 1) AS INT) + 8 * CAST(substr(bits, i * 5 + 2, 1) AS INT) + 4 * CAST(substr(bits, i * 5 + 3, 1) AS INT)
       + 2 * CAST(substr(bits, i * 5 + 4, 1) AS INT) + CAST(substr(bits, i * 5 + 5, 1) AS INT) AS INT), 1)), '') AS payload_digest,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
+  CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n > 1 THEN first END AS refers_to
 FROM b
 """

@@ -30,15 +30,15 @@ def test_bundle_round_trip(tmp_path):
 
 
 def test_round_trip_odd_and_empty(spark, tmp_path):
-    rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, None, None), (4, "http://c\r\nX: y", ""), (5, "http://d", "é" * 9), (5, "http://d", "é" * 9), (None, "http://e", "same"), (6, "http://f", "z" * 400_000)]
+    rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, None, None), (4, "http://c\r\nX: y", ""), (5, "http://d", "é" * 9), (5, "http://d", "é" * 9), (None, "http://e", "same"), (None, "http://e", "alone"), (None, "http://g", "alone"), (5, "http://h", "dup"), (5, "http://h", "dup"), (6, "http://f", "z" * 400_000)]
     pages = spark.createDataFrame([(*r, "d", 1, "b") for r in rows], "page_id long, url string, html string, digest string, size int, bundle string")
     out = warc.read(warc.write(pages, f"file://{tmp_path}/w")).collect()
     sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
-    first = {}
-    for i, _, h in rows:
-        if i is not None:
-            first[h or ""] = min(first.get(h or "", i), i)
-    want = [(i, len((h or "").encode()), sha(h or ""), *(("revisit", first[h or ""]) if i is not None and first[h or ""] != i else ("response", None))) for i, _, h in rows]
+    first, want = {}, []
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        h = h or ""
+        want.append((i, len(h.encode()), sha(h), *(("revisit", first[h]) if h in first else ("response", None))))
+        first.setdefault(h, i)
     assert sorted(map(repr, ((r._id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out))) == sorted(map(repr, want))
     assert warc.read(warc.write(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
     again = warc.write(pages.coalesce(1), f"file://{tmp_path}/once")
