@@ -18,21 +18,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import small
-
-#: Dated entries of the registered query: pattern, action, date.
-ENTRIES = [
-    ("ads-track.example.com", "block", "2023-06-01"),
-    ("ads-track.example.com", "none", "2024-09-01"),
-    ("ads-track.example.com", "block", "2025-01-01"),
-    ("tionsh.example.net/fr", "block", "2024-03-01"),
-    ("tionsh.example.net", "review", "2024-06-01"),
-    ("tionsh.example.net", "none", "2025-02-01"),
-    ("example.org", "review", "2025-03-01"),
-    ("blog.ththth.example.org", "allow", "2024-01-15"),
-    ("m.tiontion.example.com/en", "block", "2024-05-20"),
-    ("m.tiontion.example.com/en", "review", "2024-11-20"),
-]
+from .core import cut, small
+
+#: The registered query's list: of each host, and of each host with these paths, so many entries, dated and decided by md5.
+PATHS, DATES = ["", "/en", "/de", "/fr", "/es"], 8
+ACTIONS = ["block", "none", "review", "allow"]
+
+
+def entries_of(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """Dated entries (pattern, action, since) for the hosts of a table, by rule: some dozens a host, over two years."""
+    hosts = pages.select(host(F.col(url_col)).alias("host")).where("host <> ''").distinct()
+    each = hosts.select("host", F.explode(F.array(*map(F.lit, PATHS))).alias("path")).select(F.concat("host", "path").alias("pattern"), F.explode(F.sequence(F.lit(1), F.lit(DATES))).alias("k"))
+    digest = F.md5(F.concat("pattern", F.lit("#"), F.col("k").cast("string")))
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("int")
+    since = F.date_add(F.lit("2024-01-01").cast("date"), number(1, 5) % 730)
+    return each.select("pattern", F.element_at(F.array(*map(F.lit, ACTIONS)), number(6, 2) % len(ACTIONS) + 1).alias("action"), since.alias("since"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -75,18 +75,23 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str = "
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judges every page; pages have no fetch time, so that it is set by rule: page_id modulo 730 days after 2024-01-01."""
+    """Judges every page against the list that entries_of makes for their hosts; pages have no fetch time, so that it is set by rule: page_id modulo 730 days after 2024-01-01."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(730)).cast("int")))
-    entries = spark.createDataFrame(ENTRIES, "pattern string, action string, since string").withColumn("since", F.to_date("since"))
-    out = judge(pages, entries, "page_id")
+    out = judge(pages, cut(entries_of(pages)), "page_id")
     return out.select(F.col("_id").alias("page_id"), F.col("_fetched").cast("string").alias("fetched"), "pattern", "action", F.col("since").cast("string").alias("since"), "keep")
 
 
+_HOST = r"lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1))"
 SQL = (
-    "WITH e(pattern, action, since) AS (VALUES "
-    + ", ".join(f"('{p}', '{a}', DATE '{d}')" for p, a, d in ENTRIES)
-    + r"""), i AS (
-  SELECT * FROM (SELECT pattern, action, since, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM e) WHERE action <> 'none'
+    f"""WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages), g AS (
+  SELECT host || path AS pattern, md5(host || path || '#' || k) AS d FROM h, unnest({PATHS}) AS p(path), range(1, {DATES + 1}) AS r(k) WHERE host <> ''
+), e AS (
+  SELECT pattern, {ACTIONS}[CAST('0x' || substr(d, 6, 2) AS INTEGER) % {len(ACTIONS)} + 1] AS action, DATE '2024-01-01' + CAST('0x' || substr(d, 1, 5) AS INTEGER) % 730 AS since FROM g
+), x AS (
+  SELECT pattern, since, max(action) AS action FROM e GROUP BY pattern, since"""
+    + r"""
+), i AS (
+  SELECT * FROM (SELECT pattern, action, since, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM x) WHERE action <> 'none'
 ), c AS (
   SELECT page_id, DATE '2024-01-01' + CAST(((page_id % 730) + 730) % 730 AS INTEGER) AS fetched,
     lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
