@@ -2,8 +2,8 @@
 
 Examples are at most EXAMPLES labelled rows, those whose ids have the smallest hashes. A text's terms are its words
 (runs of letters, lower-cased) and the first PREFIXES bytes of longer ones, so that unseen forms of a known stem count. The vocabulary is what the examples' labels speak for or against: terms in MIN_ROWS examples or more whose
-log-likelihood ratio with the label is at least LEAST_RATIO, and whose toxic share differs from the usual one by a factor
-of LEAST_LIFT or more (so that no term of most texts, whose postings would be long, gets in).
+log-likelihood ratio with the label is at least LEAST_RATIO, and whose odds of being toxic differ from the usual ones by a
+factor of LEAST_ODDS or more (so that no term of most texts, whose postings would be long, gets in).
 
 An example's vector is its TF-IDF over the vocabulary, of unit length. For every whole text the NEIGHBOURS examples of
 greatest cosine are found exactly in a block-max inverted index: postings lie in blocks of examples with the largest
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .core import Words, _BYTES, _FOLDED, chunks, cut, mix
 
 EXAMPLES, NEIGHBOURS, BLOCK = 8_000, 15, 64
-MIN_ROWS, LEAST_RATIO, LEAST_LIFT, PRIOR = 3, 12.0, 2.0, 0.5
+MIN_ROWS, LEAST_RATIO, LEAST_ODDS, PRIOR = 3, 12.0, 2.0, 0.5
 PREFIXES = range(3, 11)
 THRESHOLD = 0.7
 _NOT_LETTERS = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by = rows.groupBy(F.col(id_col).cast("long").alias("_k")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     picked = cut(by.orderBy(F.xxhash64("_k"), "_k").limit(examples))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = texts.join(F.broadcast(picked), F.col("_id") == F.col("_k")).select("text", "toxic", "_id")
+    known = cut(texts.join(F.broadcast(picked), F.col("_id") == F.col("_k")).select("text", "toxic", "_id"))
     ends = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     total, bad = ends[0], ends[1]
     stats = known.select("text", "toxic").mapInArrow(_statistics, "term long, rows long, toxic long").groupBy("term").agg(F.sum("rows").alias("n"), F.sum("toxic").alias("y")).where(F.col("n") >= MIN_ROWS)
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0)
 
     ratio = 2 * (cell(y, n * pos / big) + cell(n - y, n * (big - pos) / big) + cell(pos - y, (big - n) * pos / big) + cell(big - n - pos + y, (big - n) * (big - pos) / big))
-    leaning = (y * big >= LEAST_LIFT * n * pos) | (y * big * LEAST_LIFT <= n * pos)
+    leaning = (y * (big - pos) >= LEAST_ODDS * (n - y) * pos) | (LEAST_ODDS * y * (big - pos) <= (n - y) * pos)
     chosen = stats.where((ratio >= LEAST_RATIO) & leaning).select("term", "n").collect() if total and 0 < bad < total else []
     vocabulary = np.array([r["term"] for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(vocabulary)

@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from palimpsest.llm import langid
@@ -34,3 +37,44 @@ def test_odd_and_empty(odd, empty, spark):
 def test_ties_go_to_the_first(spark):
     same = np.array([97, 98], np.int64)
     assert langid.score_texts(pa.array(["ab", "ba ab"]), {"de": same, "en": same})[0] == ["de", "de"]
+
+
+def brute(texts, learn):
+    """(language, score) of each text by the definition, on strings; learn: (lang, text) rows."""
+
+    def ranked(counts, most):
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], [ord(c) for c in x[0].rjust(3, "\0")]))][:most]
+
+    def grams(text):
+        words = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split()
+        out = Counter(c for w in words for c in w)
+        for w in words:
+            w = f" {w} "
+            out.update(w[i : i + 2] for i in range(len(w) - 1))
+            out.update(w[i : i + 3] for i in range(len(w) - 2))
+        return out
+
+    total = {}
+    for lang, text in learn:
+        total.setdefault(lang, Counter()).update(grams(text))
+    profiles = {k: {g: r for r, g in enumerate(ranked(c, langid.PROFILE))} for k, c in sorted(total.items())}
+    out = []
+    for t in texts:
+        mine, most = ranked(grams(t), langid.MINE), max(map(len, profiles.values()))
+        if not mine:
+            out.append(("und", 0.0))
+            continue
+        far = sorted((sum(abs(p[g] - i) if g in p else most for i, g in enumerate(mine)), k) for k, p in profiles.items())
+        score = (1 - far[0][0] / (most * len(mine))) * (1 - far[0][0] / far[1][0]) ** 0.25
+        out.append((far[0][1], score))
+    return out
+
+
+def test_against_the_definition(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    learn = [(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    want = brute([r.text for r in rows], learn)
+    got = {r.doc_id: (r.lang_pred, r.score, r.held_out) for r in langid.op5_language_id(spark, small).collect()}
+    for r, (lang, score) in zip(rows, want, strict=True):
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 1e-9 and got[r.doc_id][2] == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
