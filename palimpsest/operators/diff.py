@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,49 +91,51 @@ def rewrite_policy(groups: DataFrame) -> DataFrame:
     return groups.withColumn("scalar_safe", one).withColumn("collection_safe", many)
 
 
-def merge_lines(base: list[str], project: list[str], target: list[str]) -> tuple[list[str], bool]:
-    """A three-way merge of lines, and whether it is free of conflicts.
-
-    Common ends are taken off, then the text is cut at a line that is unique in all three and least displaced; parts
-    between are merged alike. A part changed on both sides is a conflict, kept between markers.
-    """
-    if project == base or project == target:
-        return list(target), True
-    if target == base:
-        return list(project), True
-    n = 0
-    while n < min(len(base), len(project), len(target)) and base[n] == project[n] == target[n]:
+def _aligned(base: list[str], other: list[str]) -> list[int]:
+    """For each line of base, the place of the line of other that it is kept as, or -1; places ascend."""
+    n, most = 0, min(len(base), len(other))
+    while n < most and base[n] == other[n]:
         n += 1
     m = 0
-    while m < min(len(base), len(project), len(target)) - n and base[-1 - m] == project[-1 - m] == target[-1 - m]:
+    while m < most - n and base[-1 - m] == other[-1 - m]:
         m += 1
-    b, p, t = (x[n : len(x) - m] for x in (base, project, target))
-    head, tail = base[:n], base[len(base) - m :]
-    if (p == b) or (t == b) or (p == t):
-        return head + (t if p == b else p) + tail, True
-    places = []
-    for xs in (b, p, t):
-        seen: dict[str, int] = {}
-        for i, x in enumerate(xs):
-            seen[x] = -1 if x in seen else i
-        places.append({k: v for k, v in seen.items() if v >= 0})
-    common = [(abs(places[0][k] - places[1][k]) + abs(places[0][k] - places[2][k]), places[0][k], k) for k in places[0] if k in places[1] and k in places[2]]
-    if common:
-        k = min(common)[2]
-        cuts = [pl[k] for pl in places]
-        left, ok = merge_lines(*[x[:c] for x, c in zip((b, p, t), cuts, strict=True)])
-        right, ok2 = merge_lines(*[x[c + 1 :] for x, c in zip((b, p, t), cuts, strict=True)])
-        return head + left + [k] + right + tail, ok and ok2
-    return head + ["<<<<<<< project", *p, "=======", *t, ">>>>>>> target"] + tail, False
-
-
-def merge_texts(rows: DataFrame, key: str) -> DataFrame:
+    to = [*range(n), *[-1] * (len(base) - n - m), *range(len(other) - m, len(other))]
+    for x in difflib.SequenceMatcher(None, base[n : len(base) - m], other[n : len(other) - m], autojunk=False).get_matching_blocks():
+        to[n + x.a : n + x.a + x.size] = range(n + x.b, n + x.b + x.size)
+    return to
+
+
+def merge_lines(base: list[str], project: list[str], target: list[str], prefer: str | None = None) -> tuple[list[str], bool]:
+    """A three-way merge of lines, and whether it is free of conflicts.
+
+    Both sides are aligned with the base; lines that both keep separate the parts. A part that one side changed, or both
+    alike, is taken; one that both changed differently is a conflict, kept between markers, or settled for the side that
+    `prefer` names (project or target; it still counts as one). Where lines repeat, what is one conflict and what two
+    depends on the alignment.
+    """
+    out, clean, at = [], True, (0, 0, 0)
+    kept = [(i, j, k) for i, (j, k) in enumerate(zip(_aligned(base, project), _aligned(base, target), strict=True)) if j >= 0 and k >= 0]
+    for ends in [*kept, (len(base), len(project), len(target))]:
+        b, p, t = (x[s:e] for x, s, e in zip((base, project, target), at, ends, strict=True))
+        if b == p or p == t:
+            out += t
+        elif b == t:
+            out += p
+        else:
+            clean = False
+            out += {"project": p, "target": t}.get(prefer or "", ["<<<<<<< project", *p, "=======", *t, ">>>>>>> target"])
+        out += base[ends[0] : ends[0] + 1]
+        at = tuple(e + 1 for e in ends)
+    return out, clean
+
+
+def merge_texts(rows: DataFrame, key: str, prefer: str | None = None) -> DataFrame:
     """(key, merged, clean) of rows (base, project, target) of texts, null for absent; whole texts in Arrow batches."""
     import pandas as pd
 
     def run(frames):
         for f in frames:
-            out = [merge_lines(*[("" if x is None else x).split("\n") for x in r]) for r in zip(f["base"], f["project"], f["target"], strict=True)]
+            out = [merge_lines(*[("" if x is None else x).split("\n") for x in r], prefer) for r in zip(f["base"], f["project"], f["target"], strict=True)]
             yield pd.DataFrame({key: f[key], "merged": ["\n".join(x) for x, _ in out], "clean": [ok for _, ok in out]})
 
     kind = rows.schema[key].dataType.simpleString()

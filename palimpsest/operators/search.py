@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +52,39 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return placed.where(F.col("place") > (number - 1) * size).withColumn("has_more", F.col("total") > number * size)
 
 
+def _plain() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the letters without; by Unicode's decompositions."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(a, b) for a, b in pairs if a != b and a == a.lower() and b.isascii()]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+_MARKED, _BARE = _plain()
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
+    """Runs of letters and digits of any script, lower-cased, Latin letters without their marks."""
+    return F.regexp_extract_all(F.translate(F.lower(text), _MARKED, _BARE), F.lit(r"([\p{L}\p{N}]+)"))
+
+
+def asked_terms(query: str) -> list[list[str]]:
+    """A query's terms, each once: the words in double quotes are one term, to be found in a row; others stand alone."""
+    fold = str.maketrans(_MARKED, _BARE)
+    out = []
+    for i, part in enumerate(query.lower().translate(fold).split('"')):
+        words = re.findall(r"[^\W_]+", part)
+        out += ([words] if words else []) if i % 2 else [[w] for w in words]
+    return [list(t) for t in dict.fromkeys(map(tuple, out))]
+
+
+def _uses(words: list[str]) -> Column:
+    """How often the words stand in a row among the tokens _t."""
+    if len(words) == 1:
+        return F.size("_t") - F.size(F.array_remove("_t", words[0]))
+    row, n = F.array(*map(F.lit, words)), len(words)
+    places = F.sequence(F.lit(1), F.size("_t") - (n - 1))
+    found = F.size(F.filter(places, lambda i: F.slice("_t", i, n) == row))
+    return F.when((F.size("_t") >= n) & F.arrays_overlap("_t", F.array(F.lit(words[0]))), found).otherwise(0)
 
 
 def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,13 +94,15 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int) -> DataFrame:
-    """The documents with all of the query's terms, best first (score as a negative number, ascending).
+    """The documents with all of the query's terms and quoted phrases, best first (score as a negative number, ascending); none if it has no letters or digits.
 
     Terms are counted within each document by one pass over the texts, so that nothing is shuffled but sums and hits.
     """
-    wanted = sorted(set(__import__("re").findall("[a-z0-9]+", query.lower())))
+    wanted = asked_terms(query)
+    if not wanted:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     split = docs.select(key, tokens(F.col(text)).alias("_t"))
-    tf = [(F.size("_t") - F.size(F.array_remove("_t", w))).alias(f"_tf{i}") for i, w in enumerate(wanted)]
+    tf = [_uses(w).alias(f"_tf{i}") for i, w in enumerate(wanted)]
     counted = split.select(key, F.size("_t").alias("_len"), *tf)
     whole = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))])
     hits = counted.where(" and ".join(f"_tf{i} > 0" for i in range(len(wanted)))).crossJoin(F.broadcast(whole))  # one row

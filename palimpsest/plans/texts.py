@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import diff, references, search
+from ..operators import diff, references, rules, search
 from ..sources import script
 from .registry import query, table
 
@@ -44,23 +44,37 @@ def exact_first_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank_results(once, first, F.col("p_size") % 4 == 0, 20, [F.col("name").asc(), F.col("path").asc()], ["name", "path"]).select("name", "path", "place")
 
 
-_BM25 = """
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
-c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'license')) AS a, len(list_filter(t, lambda x: x = 'version')) AS b FROM d),
-w AS (SELECT count(*) AS n, avg(l) AS avg, sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS da, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS db FROM c),
-s AS (SELECT doc_id, -(greatest(ln((n - da + 0.5) / (da + 0.5)), CASE WHEN ln((n - da + 0.5) / (da + 0.5)) <= 0 THEN 1e-6 ELSE 0 END) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / avg)))
-  - greatest(ln((n - db + 0.5) / (db + 0.5)), CASE WHEN ln((n - db + 0.5) / (db + 0.5)) <= 0 THEN 1e-6 ELSE 0 END) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / avg)) AS score FROM c, w WHERE a > 0 AND b > 0)
-SELECT doc_id, round(score, 9) AS score FROM s ORDER BY round(score, 9), doc_id LIMIT 50
+def _ranked_sql(terms: list[str]) -> str:
+    """BM25 of the documents that hold all terms; a term of several words stands for them in a row."""
+    words = [t.split() for t in terms]
+    tf = ", ".join(f"len(list_filter(range(1, len(t) - {len(w) - 2}), lambda i: t[i:i + {len(w) - 1}] = {w})) AS f{k}" for k, w in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (f{k} > 0) AS d{k}" for k in range(len(words)))
+    idf = [f"CASE WHEN ln((n - d{k} + 0.5) / (d{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{k} + 0.5) / (d{k} + 0.5)) END" for k in range(len(words))]
+    score = " - ".join(["0.0", *[f"({x}) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * l / avg))" for k, x in enumerate(idf)]])
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS t FROM documents),
+c AS (SELECT doc_id, len(t) AS l, {tf} FROM d), w AS (SELECT count(*) AS n, avg(l) AS avg, {df} FROM c)
+SELECT doc_id, round({score}, 9) AS score FROM c, w WHERE {" AND ".join(f"f{k} > 0" for k in range(len(words)))} ORDER BY score, doc_id LIMIT 50
 """
 
 
-@query(_BM25)
+@query(_ranked_sql(["rights reserved", "all"]))
+def phrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", '"Rights reserved" ALL', 50)
+
+
+@query(_ranked_sql(["uber", "die"]))
+def accents_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "ÜBER, die!", 50)
+
+
+@query(_ranked_sql(["license", "version"]))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", "license version", 50)
 
 
-@query("""
-WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), i AS (SELECT term, doc_id, count(*) AS tf FROM d GROUP BY 1, 2)
+@query(r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents), i AS (SELECT term, doc_id, count(*) AS tf FROM d GROUP BY 1, 2)
 SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS uses FROM i GROUP BY 1
 """)
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +132,12 @@ def clipped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.clip_text(F.col("text"), 40).alias("clipped"), F.length("text").cast("long").alias("n"), F.regexp_count("text", F.lit(r"[^ \t\n]+")).cast("long").alias("words"))
 
 
-@query()
+@query("""
+SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'project' || chr(10) || text || chr(10) || 'target'
+  ELSE array_to_string(['<<<<<<< project', 'project', '=======', 'target', '>>>>>>> target', text], chr(10)) END) AS digest, doc_id % 2 = 0 AS clean FROM documents WHERE text IS NOT NULL
+""")
 def text_merge3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: each document with a line added in front on one side, and one at the end on the other."""
+    """Each document with a line added in front on one side, and one at the end on the other."""
     d = table(spark, sf_dir, "documents").where("text is not null")
     rows = d.select("doc_id", F.col("text").alias("base"), F.concat(F.lit("project\n"), "text").alias("project"), F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\ntarget"))).otherwise(F.concat(F.lit("target\n"), "text")).alias("target"))
     return diff.merge_texts(rows, "doc_id").select("doc_id", F.md5("merged").alias("digest"), "clean")
@@ -145,11 +162,14 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, next_role, alone FROM (SELECT conv_id, turn, lead(role) OVER w AS next_role, lead(role) OVER w IS NULL OR lead(role) OVER w = role AS alone FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+WITH c AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'if' WHEN 'assistant' THEN 'else_if' ELSE 'else' END AS key FROM conversations),
+b AS (SELECT conv_id, turn, key, lag(key) OVER (PARTITION BY conv_id ORDER BY turn, key, text) AS before FROM c)
+SELECT conv_id, turn, key, 'else_without_if' AS code FROM b WHERE key <> 'if' AND coalesce(before NOT IN ('if', 'else_if'), true)
 """)
 def sibling_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    c = table(spark, sf_dir, "conversations").withColumn("next_role", F.lead("role").over(w))
-    return c.select("conv_id", "turn", "next_role", (F.col("next_role").isNull() | (F.col("next_role") == F.col("role"))).alias("alone"))
-
-
+    """Conversations as blocks of a script, of which the lint finds chains out of order."""
+    key = F.when(F.col("role") == "user", "if").when(F.col("role") == "assistant", "else_if").otherwise("else")
+    order = Window.partitionBy("conv_id").orderBy("turn", "key", "text")
+    c = table(spark, sf_dir, "conversations").withColumn("key", key)
+    nodes = c.select(F.col("conv_id").alias("file_id"), F.lit(0).alias("parent_local_id"), F.row_number().over(order).alias("local_id"), F.col("turn").alias("start_line"), "key", F.col("key").alias("path"), F.lit(1).alias("depth"), F.lit("block").alias("value_kind"))
+    return rules.lint(nodes).select(F.col("file_id").alias("conv_id"), F.col("start_line").alias("turn"), "key", "code")
