@@ -177,19 +177,18 @@ def scenic_or_shortest(edges: DataFrame, start: int, end: int, rounds: int, most
     return ("scenic", nice) if legs is not None and least is not None and legs <= most * least else ("shortest", short)
 
 
+#: Which kinds of edges a mode takes, if both ends are its own.
+ROUTE_KINDS = {
+    "land": ["land_boundary", "strait", "river_crossing", "mountain_pass", "land_passage", "underground_internal", "explicit_passage"],
+    "sea": ["water_boundary", "sea_route"],
+}
+
+
 def edge_allowed(mode: str, kind: Column, blocked: Column, from_sea: Column, to_sea: Column) -> Column:
-    """Whether a route by land, sea or both (`mixed`) may take an edge."""
-    passages = ("strait", "river_crossing", "mountain_pass", "land_passage", "underground_internal", "explicit_passage")
-    sea, land = F.lit(mode in ("sea", "mixed")), F.lit(mode in ("land", "mixed"))
-    return (
-        F.when(blocked & (kind != "water_boundary"), False)
-        .when(kind == "sea_route", sea & from_sea & to_sea)
-        .when(kind.isin(*passages), land)
-        .when(kind.contains("gateway"), False)
-        .when(kind == "water_boundary", sea & (F.lit(mode == "mixed") | (from_sea & to_sea)))
-        .when(kind == "land_boundary", land)
-        .otherwise(False)
-    )
+    """Whether a route by land, sea or both (`mixed`) may take an edge: the mode must be at home at both ends and know the kind, and only where water touches doesn't `blocked` count. Sea routes join seas in every mode; a mixed route goes aboard and ashore where land and water touch."""
+    home = {"land": ~from_sea & ~to_sea, "sea": from_sea & to_sea, "mixed": F.lit(True)}[mode]
+    known = kind.isin(*[k for m, ks in ROUTE_KINDS.items() if mode in (m, "mixed") for k in ks])
+    return home & known & (~blocked | (kind == "water_boundary")) & ((kind != "sea_route") | (from_sea & to_sea))
 
 
 def diffuse(values: DataFrame, edges: DataFrame, rounds: int, rates: list[float], kind: str = "neighbor_mean", cap: float | None = None, floor: float | None = None) -> DataFrame:

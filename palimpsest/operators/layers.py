@@ -99,5 +99,5 @@ def partial_overrides(objects: DataFrame) -> DataFrame:
     """
     per = objects.groupBy("rel_path", "source_name", "overridden").agg(F.count_distinct("name").alias("n"))
     won = per.where("not overridden").select("rel_path", F.col("source_name").alias("winner"), F.col("n").alias("winner_count"))
-    lost = per.where("overridden").groupBy("rel_path").agg(F.max_by(F.struct("source_name", "n"), F.struct("n", F.hash("source_name"))).alias("l"))
+    lost = per.where("overridden").groupBy("rel_path").agg(F.min_by(F.struct("source_name", "n"), F.struct(-F.col("n"), "source_name")).alias("l"))
     return won.join(lost, "rel_path").select("rel_path", "winner", "winner_count", F.col("l.source_name").alias("loser"), F.col("l.n").alias("loser_count")).where("loser_count > winner_count and winner_count > 0")

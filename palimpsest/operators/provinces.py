@@ -19,18 +19,25 @@ TERRAIN_WEIGHTS = {
 HOLDING = {"field": "holding", "weights": HOLDING_WEIGHTS}
 TERRAIN = {"field": "terrain", "weights": TERRAIN_WEIGHTS}
 
-#: Metrics by name, with the level that they are usually taken at.
+# How much of a neighbour's gain a terrain takes up; 0.7 elsewhere.
+ABSORPTION = {
+    "farmlands": 1, "floodplains": 1, "oasis": 1, "plains": 0.85, "forest": 0.85, "steppe": 0.85, "hills": 0.65, "taiga": 0.65,
+    "jungle": 0.65, "wetlands": 0.45, "desert": 0.45, "mountains": 0.25, "desert_mountains": 0.25,
+}
+USUAL_ABSORPTION = 0.7
+
+#: Metrics by name, with the level that they are usually taken at. Their ids and settings are fixed values.
 RECIPES: dict[str, tuple[str, Metric]] = {
-    "development_network": ("county", Metric("sum", components=[HOLDING, TERRAIN], transform={"kind": "high_to_low", "rounds": 3, "rates": [0.25, 0.1]})),
+    "development_network": ("county", Metric("sum", components=[HOLDING, TERRAIN], transform={"kind": "high_to_low", "rounds": 3, "rates": [0.25, 0.1, 0.04], "cap": 50.0, "floor": 0.0, "absorption": True})),
     "cultural_frontier": ("county", Metric("mode", "culture")),
     "faith_and_holy_sites": ("county", Metric("mode", "religion")),
     "special_building_constellation": ("county", Metric("sum", components=[{"field": "special_building", "presence": True}])),
-    "capital_gravity": ("county", Metric("sum", components=[HOLDING, {"field": "is_county_capital", "presence": True, "multiplier": 3}], transform={"kind": "neighbor_mean", "rounds": 1, "rates": [0.15]})),
+    "capital_gravity": ("county", Metric("sum", components=[HOLDING, {"field": "is_county_capital", "presence": True, "multiplier": 3}], transform={"kind": "neighbor_mean", "rounds": 1, "rates": [0.15], "cap": 50.0})),
     "settlement_terrain_gap": ("county", Metric("sum", components=[TERRAIN, HOLDING | {"multiplier": -0.45}])),
     "elevation_relief": ("province", Metric("mean", "elevation")),
     "ridge_network": ("province", Metric("mean", "ridge_score")),
     "watershed_flow": ("province", Metric("max", "catchment_area")),
-    "composite_rivers": ("province", Metric("sum", components=[{"field": "river_pixel_count"}, {"field": "major_river", "presence": True, "multiplier": 25}])),
+    "composite_rivers": ("province", Metric("sum", components=[{"field": "river_pixel_count"}, {"field": "major_river", "multiplier": 25}])),
     "relative_bathymetry": ("province", Metric("mean", "relative_depth")),
     "continental_shelf": ("province", Metric("mean", "shelf_score")),
     "ocean_basins": ("province", Metric("mode", "ocean_basin_id")),
@@ -43,7 +50,15 @@ def recipe(members: DataFrame, name: str, level: str | None = None, edges: DataF
     out = build(members, [level or usual], metric)
     if metric.transform and edges is not None:
         t = metric.transform
-        moved = graph.diffuse(out.select(F.col("entity").alias("node"), F.col("value").try_cast("double").alias("value"), F.lit(1.0).alias("absorption")), edges, t["rounds"], t["rates"], t["kind"], floor=0.0)
+        now = out.select(F.col("entity").alias("node"), F.col("value").try_cast("double").alias("value"))
+        if t.get("absorption"):
+            takes = F.lit(USUAL_ABSORPTION)
+            for terrain, share in ABSORPTION.items():
+                takes = F.when(F.col("terrain") == terrain, float(share)).otherwise(takes)
+            now = now.join(members.groupBy(F.col(level or usual).alias("node")).agg(F.avg(takes).alias("absorption")), "node", "left")
+        else:
+            now = now.withColumn("absorption", F.lit(1.0))
+        moved = graph.diffuse(now, edges, t["rounds"], t["rates"], t["kind"], cap=t.get("cap"), floor=t.get("floor"))
         out = out.drop("value").join(moved.select(F.col("node").alias("entity"), F.round("value", 6).cast("string").alias("value")), "entity").select("level", "entity", "value", "observed")
     return out
 
@@ -57,9 +72,16 @@ def neighbours(edges: DataFrame, provinces: DataFrame, start: int, radius: int)
     return rows.select("id", "hops", F.round(distance(dx, dy), 2).alias("distance"), F.round(bearing(dx, dy), 2).alias("bearing"), direction(dx, dy).alias("direction"))
 
 
-def adjacency_kind(from_kind: Column, to_kind: Column, blocked: Column) -> Column:
-    """land, coast, water or barrier, of two provinces' water kinds (null for land)."""
-    return F.when(blocked & from_kind.isNull() & to_kind.isNull(), "barrier").when(from_kind.isNull() & to_kind.isNull(), "land").when(from_kind.isNotNull() & to_kind.isNotNull(), "water").otherwise("coast")
+def adjacency_kind(from_block: Column, to_block: Column, blocked: Column) -> Column:
+    """The boundary of two provinces by what blocks them (impassable_mountain, water, other or null) and the adjacency's own flag; the first that applies."""
+    either = lambda kind: (F.coalesce(from_block, F.lit("")) == kind) | (F.coalesce(to_block, F.lit("")) == kind)
+    return F.when(either("impassable_mountain"), "impassable_mountain_boundary").when(either("water"), "water_boundary").when(blocked, "other_blocked_boundary").otherwise("land_border")
+
+
+def adjacency_water(from_block: Column, to_block: Column, from_water: Column, to_water: Column) -> Column:
+    """Of a water boundary, the kind of water: the far side's, else the near side's; null for other boundaries."""
+    known = lambda x: F.when(x != "", x)
+    return F.when(adjacency_kind(from_block, to_block, F.lit(False)) == "water_boundary", F.coalesce(known(to_water), known(from_water)))
 
 
 def building_score(rows: DataFrame) -> DataFrame:
@@ -71,8 +93,8 @@ def building_score(rows: DataFrame) -> DataFrame:
     def points(when: Column, n: int) -> Column:
         return F.when(F.coalesce(when, F.lit(False)), n).otherwise(0)
 
-    h = F.coalesce(F.col("holding"), F.lit(""))
-    kind = F.when(h.contains("city"), 10).when(h.contains("castle"), 6).when(h.contains("temple") | h.contains("church"), 6).when(h.contains("ruin"), -12).when(h.contains("placeholder"), -20).otherwise(0)
+    h = F.lower(F.coalesce(F.col("holding"), F.lit("")))
+    kind = F.when(h.contains("city"), 10).when(h.contains("castle"), 6).when(h.contains("temple") | h.contains("church"), 6).when(h.contains("ruin"), -12).when(h.contains("wasteland") | h.contains("empty") | (h == "none"), -20).otherwise(0)
     water = F.when(F.col("water_hops") == 0, 4).when(F.col("water_hops").between(1, 2), 2).otherwise(0)
     total = (
         F.lit(50) + points(F.col("empty_slot"), 30) + points(F.col("has_special"), -60) + points(F.col("capital"), 12) + kind

@@ -176,16 +176,16 @@ def geography_tags(near: DataFrame) -> DataFrame:
     return near.select("id", F.array_compact(tags).alias("tags"))
 
 
-def passage_kind(kind, length, diagonal: float, from_under, to_under):
-    """A strategic passage's class by its kind, length and whether its ends are underground."""
-    long_ = length >= max(250.0, 0.05 * diagonal)
-    return (
-        F.when(long_, F.when(from_under | to_under, "underground_gateway").otherwise("offmap_gateway"))
-        .when(from_under & to_under, "underground_internal")
-        .when(from_under | to_under, "underground_gateway")
-        .when(kind.isin("river", "river_large"), "river_crossing")
-        .when(kind == "mountain", "mountain_pass")
-        .when(kind == "sea", F.when(length <= 80, "strait").otherwise("sea_route"))
-        .when(kind == "land", "land_passage")
-        .otherwise("explicit_passage")
-    )
+#: A short passage's class by its kind; of sea passages, those up to 80 are straits.
+PASSAGES = {"river": "river_crossing", "river_large": "river_crossing", "mountain": "mountain_pass", "sea": "sea_route", "land": "land_passage"}
+
+
+def passage_kind(kind, length, diagonal: float, from_under, to_under, through_under=None):
+    """A strategic passage's class by its kind, its length, and which of its ends, or the province it passes, are underground."""
+    under = from_under | to_under | (F.lit(False) if through_under is None else through_under)
+    far = length >= max(250.0, 0.05 * diagonal)
+    usual = F.lit("explicit_passage")
+    for name, found in PASSAGES.items():
+        usual = F.when(kind == name, found).otherwise(usual)
+    usual = F.when((kind == "sea") & (length <= 80), "strait").otherwise(usual)
+    return F.when(under, F.when(~far & from_under & to_under, "underground_internal").otherwise("underground_gateway")).when(far, "offmap_gateway").otherwise(usual)

@@ -9,23 +9,24 @@ from ..functions.scalars import segment_distance
 from ..shared import small
 
 
-def boundary_kind(from_water: Column, to_water: Column) -> Column:
-    """How two touching provinces meet."""
-    return F.when(from_water & to_water, "water_boundary").when(~from_water & ~to_water, "land_boundary").otherwise("coast_boundary")
+def boundary_kind(from_water: Column, to_water: Column, blocked: Column, mountain: Column) -> Column:
+    """How two touching provinces meet: water counts before what is blocked, as navigable water is blocked land."""
+    return F.when(from_water | to_water, "water_boundary").when(blocked & mountain, "impassable_mountain_boundary").when(blocked, "blocked_boundary").otherwise("land_boundary")
 
 
 def route_graph(adjacent: DataFrame, passages: DataFrame, provinces: DataFrame) -> DataFrame:
     """Directed edges (u, v, kind, blocked, w) of adjacencies (u, v, blocked) and passages (u, v, kind), w being the distance of centres.
 
     Of an adjacency stated twice the unblocked statement holds; passages that are gateways lead nowhere.
-    provinces: id, x, y, water.
+    provinces: id, x, y, water; and, if there is one, block_kind, in which impassable mountains are named.
     """
     a = adjacent.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "blocked").where("u <> v").groupBy("u", "v").agg(F.bool_and("blocked").alias("blocked"))
-    p = provinces.select("id", "x", "y", "water")
+    block = F.coalesce("block_kind", F.lit("")) if "block_kind" in provinces.columns else F.lit("")
+    p = provinces.select("id", "x", "y", "water", block.contains("mountain").alias("mountain"))
     ends = [p.select(*[F.col(c).alias(f"{c}_{e}") for c in p.columns]) for e in ("u", "v")]
     near = a.withColumn("kind", F.lit(None).cast("string")).unionByName(passages.where("not contains(kind, 'gateway')").select("u", "v", "kind", F.lit(False).alias("blocked")))
     both = near.join(ends[0], F.col("u") == F.col("id_u")).join(ends[1], F.col("v") == F.col("id_v"))
-    kind = F.coalesce("kind", boundary_kind(F.col("water_u"), F.col("water_v")))
+    kind = F.coalesce("kind", boundary_kind(F.col("water_u"), F.col("water_v"), F.col("blocked"), F.col("mountain_u") | F.col("mountain_v")))
     one = both.select("u", "v", kind.alias("kind"), "blocked", F.hypot(F.col("x_u") - F.col("x_v"), F.col("y_u") - F.col("y_v")).alias("w"), F.col("water_u").alias("from_sea"), F.col("water_v").alias("to_sea"))
     return one.union(one.select("v", "u", "kind", "blocked", "w", "to_sea", "from_sea"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import metrics, raster
+from ..operators import metrics, provinces, raster
 from ..shared import small
 from .registry import query, table
 
@@ -217,13 +217,18 @@ def bearing_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, CAST(greatest(0, 50 + CASE WHEN c_acctbal < 0 THEN -60 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 30 WHEN c_mktsegment = 'MACHINERY' THEN 10 ELSE 0 END
-  + CASE WHEN c_nationkey % 5 = 0 THEN 8 ELSE 0 END + CASE WHEN c_acctbal > 5000 THEN 12 ELSE 0 END) AS INTEGER) AS score FROM customer
+SELECT c_custkey, CAST(greatest(0, 50 + CASE WHEN c_acctbal < 0 THEN -60 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 30 WHEN c_mktsegment = 'MACHINERY' THEN 10 WHEN c_mktsegment = 'FURNITURE' THEN -20 ELSE 0 END
+  + CASE WHEN c_nationkey % 5 = 0 THEN 8 ELSE 0 END + CASE c_nationkey % 4 WHEN 0 THEN 4 WHEN 3 THEN 0 ELSE 2 END - 8 * (c_nationkey % 2) + CASE WHEN c_acctbal > 5000 THEN 12 ELSE 0 END) AS INTEGER) AS score FROM customer
 """)
 def additive_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg, bal = F.col("c_mktsegment"), F.col("c_acctbal")
-    rule = F.lit(50) + F.when(bal < 0, -60).otherwise(0) + F.when(seg == "BUILDING", 30).when(seg == "MACHINERY", 10).otherwise(0) + F.when(F.col("c_nationkey") % 5 == 0, 8).otherwise(0) + F.when(bal > 5000, 12).otherwise(0)
-    return table(spark, sf_dir, "customer").select("c_custkey", F.greatest(F.lit(0), rule).alias("score"))
+    """Customers as building sites."""
+    seg, bal, no = F.col("c_mktsegment"), F.col("c_acctbal"), F.lit(False)
+    holding = F.when(seg == "MACHINERY", "great_city_holding").when(seg == "FURNITURE", "None").otherwise("other")
+    site = table(spark, sf_dir, "customer").select(
+        "c_custkey", (seg == "BUILDING").alias("empty_slot"), (bal < 0).alias("has_special"), (bal > 5000).alias("capital"), (F.col("c_nationkey") % 5 == 0).alias("coastal"),
+        no.alias("inland_water"), no.alias("pass_or_choke"), no.alias("border"), holding.alias("holding"), (F.col("c_nationkey") % 4).alias("water_hops"), F.lit(None).cast("int").alias("same_culture_near"), (F.col("c_nationkey") % 2).alias("special_near"),
+    )
+    return provinces.building_score(site).select("c_custkey", F.col("score").cast("int").alias("score"))
 
 
 @query("""

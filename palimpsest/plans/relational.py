@@ -378,18 +378,18 @@ def public_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH o AS (SELECT p_name AS rel_path, p_size % 3 AS rk, count(DISTINCT p_type || p_brand) AS n FROM part GROUP BY 1, 2),
 w AS (SELECT rel_path, arg_min(n, rk) AS wn, min(rk) AS wr FROM o GROUP BY 1)
-SELECT rel_path, CAST(wn AS BIGINT) AS winner_count, CAST(max(n) AS BIGINT) AS loser_count FROM w JOIN o USING (rel_path) WHERE rk > wr GROUP BY rel_path, wn HAVING max(n) > wn
+SELECT rel_path, CAST(wn AS BIGINT) AS winner_count, 'layer' || arg_min(rk, -n * 10 + rk) AS loser, CAST(max(n) AS BIGINT) AS loser_count FROM w JOIN o USING (rel_path) WHERE rk > wr GROUP BY rel_path, wn HAVING max(n) > wn
 """)
 def partial_override_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_name").alias("rel_path"), (F.col("p_size") % 3).alias("source_rank"), F.concat(F.lit("layer"), F.col("p_size") % 3).alias("source_name"), F.concat("p_type", "p_brand").alias("name"))
     top = p.groupBy("rel_path").agg(F.min("source_rank").alias("_top"))
     rows = p.join(small(top), "rel_path").withColumn("overridden", F.col("source_rank") > F.col("_top"))
-    return layers.partial_overrides(rows).select("rel_path", "winner_count", "loser_count")
+    return layers.partial_overrides(rows).select("rel_path", "winner_count", "loser", "loser_count")
 
 
 @query("""
 WITH e AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'error' ELSE 'warning' END AS severity FROM labels),
-r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'localization' WHEN 1 THEN 'object' ELSE 'flag' END AS k FROM documents WHERE source = 'src0'),
+r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'localization' WHEN 1 THEN 'object' ELSE 'flag' END AS k FROM documents),
 x AS (SELECT doc_id, count(*) FILTER (k = 'object') AS b, count(*) FILTER (k = 'localization') AS w FROM r WHERE k <> 'flag' GROUP BY 1),
 y AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS b, count(*) FILTER (severity <> 'error') AS w FROM e GROUP BY 1),
 z AS (SELECT coalesce(x.doc_id, y.doc_id) AS doc_id, coalesce(x.b, 0) + coalesce(y.b, 0) AS blocking, coalesce(x.w, 0) + coalesce(y.w, 0) AS warnings FROM x FULL JOIN y ON x.doc_id = y.doc_id)
@@ -398,7 +398,7 @@ SELECT doc_id, CAST(blocking AS BIGINT) AS blocking, CAST(warnings AS BIGINT) AS
 def preflight_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "error").otherwise("warning").alias("severity"))
     kind = F.element_at(F.array(F.lit("localization"), F.lit("object"), F.lit("flag")), (F.col("doc_id") % 3 + 1).cast("int"))
-    refs = table(spark, sf_dir, "documents").where("source = 'src0'").select("doc_id", kind.alias("ref_kind"), F.lit("unresolved").alias("state"))
+    refs = table(spark, sf_dir, "documents").select("doc_id", kind.alias("ref_kind"), F.lit("unresolved").alias("state"))
     return diagnostics.preflight(refs, errors, "doc_id")
 
 

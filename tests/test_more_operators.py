@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import routes, rules, terrain
-from palimpsest.sources import readers, saves, script
+from palimpsest.operators import diff, layers, provinces, raster, routes, rules, search, terrain
+from palimpsest.sources import publish, readers, saves, script
 
 
 def test_route_graph_and_prices(spark):
@@ -17,9 +17,10 @@ def test_route_graph_and_prices(spark):
     way = spark.createDataFrame([(1, 4, "sea_route"), (1, 3, "offmap_gateway"), (1, 3, "strait")], "u long, v long, kind string")
     prov = spark.createDataFrame([(1, 0.0, 0.0, False), (2, 3.0, 4.0, False), (3, 3.0, 0.0, True), (4, 9.0, 0.0, True)], "id long, x double, y double, water boolean")
     g = routes.route_graph(adj, way, prov)
-    assert {(r.u, r.v, r.kind, r.blocked, r.w) for r in g.where("u < v").collect()} == {(1, 2, "land_boundary", False, 5.0), (2, 3, "coast_boundary", False, 4.0), (3, 4, "water_boundary", True, 6.0), (1, 4, "sea_route", False, 9.0), (1, 3, "strait", False, 3.0)}
+    assert {(r.u, r.v, r.kind, r.blocked, r.w) for r in g.where("u < v").collect()} == {(1, 2, "land_boundary", False, 5.0), (2, 3, "water_boundary", False, 4.0), (3, 4, "water_boundary", True, 6.0), (1, 4, "sea_route", False, 9.0), (1, 3, "strait", False, 3.0)}
     take = lambda mode: {(r.u, r.v) for r in routes.priced(g, mode).where("u < v").collect()}
-    assert take("land") == {(1, 2), (1, 3)} and take("sea") == {(3, 4)} and take("mixed") == {(1, 2), (1, 3), (3, 4)}
+    assert take("land") == {(1, 2)} and take("sea") == {(3, 4)} and take("mixed") == {(1, 2), (1, 3), (2, 3), (3, 4)}
+    assert {r.w for r in routes.priced(g, "mixed").where("u = 2 and v = 3").collect()} == {254.0}
     assert {r.w for r in routes.priced(g, "mixed").where("kind = 'strait'").collect()} == {253.0}
     assert {r.node for r in routes.reachable(g, spark.createDataFrame([(4,)], "node long")).collect()} == {1, 2, 3, 4}
 
@@ -148,3 +149,48 @@ def test_provinces(spark):
     site = spark.createDataFrame([(True, False, True, True, False, False, True, "city_holding", 0, 2, 0), (False, True, None, None, None, None, None, "ruin", None, None, 3)], "empty_slot boolean, has_special boolean, capital boolean, coastal boolean, inland_water boolean, pass_or_choke boolean, border boolean, holding string, water_hops int, same_culture_near int, special_near int")
     assert sorted(r.score for r in provinces.building_score(site).collect()) == [0, 50 + 30 + 12 + 10 + 8 + 4 + 4 + 4]
     assert {(r.county, r.provinces, r.main_culture) for r in provinces.title_context(p, "county").collect()} == {("c1", 2, "x"), ("c2", 2, "x")}
+
+
+def test_boundaries_and_passages(spark):
+    rows = [("impassable_mountain", "water", True), (None, "water", True), ("other", None, True), (None, None, False)]
+    kinds = spark.createDataFrame(rows, "a string, b string, blocked boolean").select(provinces.adjacency_kind(F.col("a"), F.col("b"), F.col("blocked")), provinces.adjacency_water(F.col("a"), F.col("b"), F.lit("lake"), F.lit("")))
+    assert [tuple(r) for r in kinds.collect()] == [("impassable_mountain_boundary", None), ("water_boundary", "lake"), ("other_blocked_boundary", None), ("land_border", None)]
+    ways = [("sea", 80.0, False, False, False), ("sea", 81.0, False, False, False), ("land", 10.0, False, False, True), ("land", 10.0, True, True, True), ("land", 900.0, True, True, False), ("river_large", 900.0, False, False, False), ("x", 1.0, False, False, False)]
+    found = spark.createDataFrame(ways, "k string, n double, f boolean, t boolean, u boolean").select(raster.passage_kind(F.col("k"), F.col("n"), 1000.0, F.col("f"), F.col("t"), F.col("u")))
+    assert [r[0] for r in found.collect()] == ["strait", "sea_route", "underground_gateway", "underground_internal", "underground_gateway", "offmap_gateway", "explicit_passage"]
+
+
+def test_merges_of_heavily_edited_texts():
+    base = [f"line {i}" for i in range(6_000)]
+    project = [x + " p" if i % 8 == 0 else x for i, x in enumerate(base)]
+    target = [x + " t" if i % 8 == 4 else x for i, x in enumerate(base)]
+    assert diff.merge_lines(base, project, target) == ([x + " p" if i % 8 == 0 else x + " t" if i % 8 == 4 else x for i, x in enumerate(base)], True)
+    for side, want in (("project", ["1"]), ("target", ["2"]), (None, ["<<<<<<< project", "1", "=======", "2", ">>>>>>> target"])):
+        assert diff.merge_lines(["a", "0", "b"], ["a", "1", "b"], ["a", "2", "b"], side) == (["a", *want, "b"], False)
+
+
+def test_terms_of_queries(spark):
+    assert search.asked_terms('"Rights, RÉSERVED" all "" 許可 all') == [["rights", "reserved"], ["all"], ["許可"]]
+    d = spark.createDataFrame([(1, "許可 証 Über"), (2, "a b a b a"), (3, "")], "id long, text string")
+    ids = lambda q: [r.id for r in search.bm25(d, "id", "text", q, 9).collect()]
+    assert ids("許可") == [1] and ids("uber 証") == [1] and ids("?!") == [] and ids('"b a"') == [2] and ids('"a a"') == []
+
+
+def test_two_writers_on_one_base(spark, tmp_path):
+    store = publish.Store(spark, str(tmp_path / "s"))
+    first, second = spark.range(3), spark.range(5)
+    store.publish({"t": first}, 0)
+    pinned = store.pin()
+    late = publish.Store(spark, store.root, {"generation": 1, "status": "ready", "reason": None, "tables": ["t"], "folder": None})
+    assert store.publish({"t": second}, 1) == 2
+    with pytest.raises(publish.Stale):
+        late.publish({"t": first}, 1)
+    assert (pinned.read("t").count(), store.read("t").count()) == (3, 5)
+    store.mark_stale("test")
+    assert store.state()["status"] == "stale" and store.read("t").count() == 5
+
+
+def test_losers_tie_by_name(spark):
+    rows = [("p", "beta", True, n) for n in "xy"] + [("p", "alpha", True, n) for n in "xy"] + [("p", "gamma", True, n) for n in "xy"] + [("p", "win", False, "x")]
+    got = layers.partial_overrides(spark.createDataFrame(rows, "rel_path string, source_name string, overridden boolean, name string")).first()
+    assert (got.winner, got.loser, got.loser_count) == ("win", "alpha", 2)
