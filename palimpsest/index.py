@@ -40,8 +40,8 @@ def _object_type(path: Column, types: dict[str, str]) -> Column:
 class Index:
     """Questions about the current generation of an index."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.store = spark, publish.Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, store: publish.Store | None = None) -> None:
+        self.spark, self.store = spark, store or publish.Store(spark, root)
 
     @classmethod
     def build(cls, spark: SparkSession, sources: list[Layer], root: str, types: dict[str, str] | None = None, ref_kinds: dict[str, str] | None = None, facts: DataFrame | None = None) -> Index:
@@ -120,8 +120,15 @@ class Index:
     def resource(self, name: str) -> DataFrame:
         return references.find_resources(self.spark.createDataFrame([(name,)], "name string"), self._table("resources"))
 
+    def pinned(self) -> Index:
+        """This index at the generation that is current now, so that one request sees one generation."""
+        return Index(self.spark, self.store.root, self.store.pin())
+
     def search(self, query: str, limit: int = 20, public: bool = True) -> DataFrame:
-        """Names that start with the query, in all tables; if there are none, localized values that contain it."""
+        """Names that start with the query, in all tables of one generation; if there are none, localized values that contain it."""
+        return self.pinned()._search(query, limit, public)
+
+    def _search(self, query: str, limit: int, public: bool) -> DataFrame:
         project = self._table("layers").where("role = 'project'").select("name")
         own = [r[0] for r in project.collect()]
         cols = {"object": ("objects", "name", "rel_path"), "reference": ("refs", "ref_name", "rel_path"), "localization": ("localization", "key", "rel_path"), "resource": ("resources", "path", "path")}

@@ -2,54 +2,91 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_MANIFEST = "generation long, status string, reason string, tables array<string>, folder string"
+
+
 class Stale(RuntimeError):
     """The base generation is no longer the current one."""
 
 
 @dataclass
 class Store:
-    """A folder with the tables of each generation in `gen=N` and a manifest, a table of which the row with the largest generation counts."""
+    """A folder with the tables of each generation, and a manifest: a file `N.json` for each published generation N and others that only change its status.
+
+    Each writer writes under a name of its own; the generation exists when its manifest is renamed into place, which
+    fails for all but the first writer. A pinned store goes on reading the generation that it was pinned to.
+    """
 
     spark: SparkSession
     root: str
+    pinned: dict | None = None
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _manifest(self) -> DataFrame | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        path = self._path("manifest")
         system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.json(f"{self.root}/manifest", schema="generation long, status string, reason string, tables array<string>") if system.exists(path) else None
+        return self.spark.read.json(f"{self.root}/manifest/*.json", schema=_MANIFEST) if system.exists(path) else None
 
     def state(self) -> dict:
+        if self.pinned:
+            return self.pinned
         m = self._manifest()
         row = None if m is None else m.orderBy(F.desc("generation"), F.desc("status")).first()
-        return {"generation": 0, "status": "empty", "reason": None, "tables": []} if row is None else row.asDict()
-
-    def _commit(self, generation: int, status: str, reason: str | None, tables: list[str]) -> None:
-        self.spark.createDataFrame([(generation, status, reason, tables)], "generation long, status string, reason string, tables array<string>").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+        return {"generation": 0, "status": "empty", "reason": None, "tables": [], "folder": None} if row is None else row.asDict()
+
+    def pin(self) -> Store:
+        """This store at the generation that is current now."""
+        return Store(self.spark, self.root, self.state())
+
+    def _commit(self, name: str, row: dict) -> bool:
+        """Puts a manifest file in place, whole or not at all; false if one of that name is there."""
+        jvm = self.spark.sparkContext._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("manifest").toUri() if "://" in self.root or self.root.startswith("file:") else jvm.java.net.URI("file:///"), self.spark.sparkContext._jsc.hadoopConfiguration())
+        system = self._path("manifest").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(self._path("manifest"))
+        temp = self._path(f"manifest/_{uuid.uuid4().hex}")
+        out = system.create(temp, False)
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
+        final, options = system.makeQualified(self._path(f"manifest/{name}.json")), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(system.makeQualified(temp), final, options)
+        except Exception as e:
+            if not system.exists(final):
+                raise
+            system.delete(temp, False)
+            if "FileAlreadyExists" not in str(e):
+                raise
+            return False
+        return True
 
     def publish(self, tables: dict[str, DataFrame], base: int) -> int:
         """Writes all tables as the next generation, then commits it, if `base` is still current."""
         if self.state()["generation"] != base:
             raise Stale(f"expected generation {base}, found {self.state()['generation']}")
-        n = base + 1
+        n, folder = base + 1, f"gen={base + 1}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/gen={n}/{name}")
-        if self.state()["generation"] != base:
+            df.write.parquet(f"{self.root}/{folder}/{name}")
+        if not self._commit(str(n), {"generation": n, "status": "ready", "reason": None, "tables": sorted(tables), "folder": folder}):
             raise Stale(f"generation {base} was superseded")
-        self._commit(n, "ready", None, sorted(tables))
         return n
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/gen={self.state()['generation']}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{self.state()['folder']}/{name}")
 
     def mark_stale(self, reason: str) -> None:
         s = self.state()
-        self._commit(s["generation"], "stale", reason, s["tables"])
+        self._commit(f"{s['generation']}-stale-{uuid.uuid4().hex}", s | {"status": "stale", "reason": reason})
 
 
 def changed_files(before: DataFrame, now: DataFrame) -> DataFrame:
