@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import CHUNK_BYTES, Words, chunks, cut, mix, shingles, within
+from .core import CHUNK_BYTES, Words, cut, mix, shingles, small, within
 
 WINDOW, ANCHOR = 13, 5
 HELD, SEEN = 1_500_000, 200_000
@@ -359,8 +359,16 @@ def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _attempt(known: DataFrame, window: int, anchor: int, key: int) -> DataFrame:
-    """The results under a key, and rows without n_words of sources that don't hold what was found elsewhere; computed once."""
-    named = known.select("_id", "_text", F.unhex(F.substring(F.sha2(F.col("_text"), 256), 1, 32)).alias("_d")).withColumn("_tag", F.hash(F.lit(key), "_d"))
+    """The results under a key, and rows without n_words of sources that don't hold what was found elsewhere; computed once.
+
+    A row's tag tells it from others of its id; it is 0, which shrinks in the shuffle, where an id is alone.
+    """
+    named = known.select("_id", "_text", F.unhex(F.substring(F.sha2(F.col("_text"), 256), 1, 32)).alias("_d"))
+    many = cut(known.groupBy("_id").count().where("count > 1").select("_id", F.lit(True).alias("_many")))
+    tag = F.lit(0)
+    if not many.isEmpty():
+        named, tag = named.join(small(many), "_id", "left"), F.when(F.col("_many"), F.hash(F.lit(key), "_d")).otherwise(0)
+    named = named.withColumn("_tag", tag)
     texts = named.select("_id", "_tag", "_text").mapInArrow(_pack, "_id long, _tag int, _packed binary").repartition("_id")
     digests = named.where("_d is not null").select("_id", "_tag", "_d", F.pmod(F.xxhash64("_id"), F.lit(8)).alias("_salt"))
     least = digests.groupBy("_d").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").select("_d", "_least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("_salt"))
