@@ -374,7 +374,8 @@ def _attempt(known: DataFrame, window: int, anchor: int, key: int) -> DataFrame:
     if not many.isEmpty():
         named, tag = named.join(small(many), "_id", "left"), F.when(F.col("_many"), F.hash(F.lit(key), "_d")).otherwise(0)
     named = named.withColumn("_tag", tag)
-    texts = named.select("_id", "_tag", "_text").mapInArrow(_pack, "_id long, _tag int, _packed binary").repartition("_id")
+    # Inner joins infer this filter and push it under the exchange; without it elsewhere too, they'd have an exchange of their own.
+    texts = named.select("_id", "_tag", "_text").mapInArrow(_pack, "_id long, _tag int, _packed binary").where("_id is not null").repartition("_id")
     digests = named.where("_d is not null").select("_id", "_tag", "_d", F.pmod(F.xxhash64("_id"), F.lit(8)).alias("_salt"))
     least = digests.groupBy("_d").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").select("_d", "_least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("_salt"))
     copies = digests.join(least, ["_d", "_salt"]).where("_id > _least").groupBy("_id").agg(F.collect_set("_tag").alias("_copies"))
