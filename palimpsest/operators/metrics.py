@@ -61,17 +61,18 @@ def histogram_quantiles(rows: DataFrame, keys: list[str], value: str, qs: list[f
 
 def stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, missing, coverage, extremes, mean and interpolated deciles of a value."""
-    v = F.col(value)
+    v, qs = F.col(value), (0.1, 0.5, 0.9)
     found = F.count(v)
-    return rows.groupBy(*keys).agg(
+    all_ = rows.groupBy(*keys).agg(
         found.alias("observed"),
         (F.count(F.lit(1)) - found).alias("missing"),
         (found / F.count(F.lit(1))).alias("coverage"),
         F.min(v).alias("low"),
         F.max(v).alias("high"),
         F.avg(v).alias("mean"),
-        *[F.percentile(v, q).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9)],
+        F.percentile(v, list(qs)).alias("_p"),
     )
+    return all_.select("*", *[F.col("_p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(qs)]).drop("_p")
 
 
 def percentile_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

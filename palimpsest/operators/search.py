@@ -93,6 +93,14 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return split.select(key, F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(term, docs, uses): how many rows hold a term, and how often. A row's tokens are sorted within it, so that what is shuffled is sums by term."""
+    split = docs.select(F.sort_array(tokens(F.col(text))).alias("_t"))
+    marked = F.transform("_t", lambda x, i: F.struct(x.alias("term"), (x.eqNullSafe(F.get("_t", i - 1))).alias("again")))
+    each = split.select(F.explode(marked).alias("_m")).select("_m.term", "_m.again")
+    return each.groupBy("term").agg(F.count_if(~F.col("again")).alias("docs"), F.count(F.lit(1)).alias("uses"))
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int) -> DataFrame:
     """The documents with all of the query's terms and quoted phrases, best first (score as a negative number, ascending); none if it has no letters or digits.
 

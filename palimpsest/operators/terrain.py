@@ -108,9 +108,15 @@ def affine(points: DataFrame, a: list[float]) -> DataFrame:
 
 
 def triangle_warp(points: DataFrame, triangles: DataFrame) -> DataFrame:
-    """points (x, y) carried from the triangles that hold them (ax, ay, bx, by, cx, cy) to their images (ax2 .. cy2) by barycentric coordinates; the first triangle by id counts. The mesh is a few control points wide and is broadcast."""
-    t = F.broadcast(triangles)
-    both = points.join(t, (F.col("x") >= F.least("ax", "bx", "cx")) & (F.col("x") <= F.greatest("ax", "bx", "cx")) & (F.col("y") >= F.least("ay", "by", "cy")) & (F.col("y") <= F.greatest("ay", "by", "cy")))
+    """points (x, y) carried from the triangles that hold them (ax, ay, bx, by, cx, cy) to their images (ax2 .. cy2) by barycentric coordinates; the first triangle by id counts.
+
+    Both sides meet in grid cells as wide as the widest triangle, so that a triangle lies in at most four.
+    """
+    wide = triangles.agg(F.max(F.greatest(*[F.greatest(*three) - F.least(*three) for three in (("ax", "bx", "cx"), ("ay", "by", "cy"))]))).first()[0]
+    cell = lambda v: F.floor(v / float(wide or 1))
+    over = lambda *three: F.explode(F.sequence(cell(F.least(*three)), cell(F.greatest(*three))))
+    t = triangles.withColumn("_cx", over("ax", "bx", "cx")).withColumn("_cy", over("ay", "by", "cy"))
+    both = points.join(t, (cell(F.col("x")) == F.col("_cx")) & (cell(F.col("y")) == F.col("_cy")) & (F.col("x") >= F.least("ax", "bx", "cx")) & (F.col("x") <= F.greatest("ax", "bx", "cx")) & (F.col("y") >= F.least("ay", "by", "cy")) & (F.col("y") <= F.greatest("ay", "by", "cy")))
     c = {k: F.col(k) for k in ("x", "y", "ax", "ay", "bx", "by", "cx", "cy")}
     det = (c["by"] - c["cy"]) * (c["ax"] - c["cx"]) + (c["cx"] - c["bx"]) * (c["ay"] - c["cy"])
     u = ((c["by"] - c["cy"]) * (c["x"] - c["cx"]) + (c["cx"] - c["bx"]) * (c["y"] - c["cy"])) / det

@@ -78,8 +78,7 @@ WITH d AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)),
 SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS uses FROM i GROUP BY 1
 """)
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = search.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return i.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"))
+    return search.term_counts(table(spark, sf_dir, "documents"), "text")
 
 
 @query(r"""

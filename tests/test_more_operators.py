@@ -52,10 +52,27 @@ def test_coasts_assets_and_warps(spark):
     t = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0, 0.0, 10.0, 5.0, 5.0, 25.0, 5.0, 5.0, 25.0)], "id int, ax double, ay double, bx double, by double, cx double, cy double, ax2 double, ay2 double, bx2 double, by2 double, cx2 double, cy2 double")
     out = terrain.triangle_warp(spark.createDataFrame([(1, 1), (9, 9)], "x int, y int"), t)
     assert [tuple(r) for r in out.collect()] == [(1, 1, 7, 7)]
+    half = [(2, 10.0, 0.0, 10.0, 30.0, 40.0, 0.0, 0.0, 0.0, 0.0, 30.0, 30.0, 0.0), (3, -20.0, -20.0, -20.0, -5.0, -5.0, -20.0, 0.0, 0.0, 0.0, 15.0, 15.0, 0.0)]
+    mesh = t.union(spark.createDataFrame(half, t.schema))
+    grid = spark.createDataFrame([(x, y) for x in range(-21, 42) for y in range(-21, 32)], "x int, y int")
+    moved = {(r.from_x, r.from_y): (r.x, r.y) for r in terrain.triangle_warp(grid, mesh).collect()}
+    wanted = {(x, y): (x - 10, y) for x in range(10, 41) for y in range(31) if x - 10 + y <= 30}
+    wanted |= {(x, y): (x + 20, y + 20) for x in range(-20, -4) for y in range(-20, -4) if x + y <= -25}
+    wanted |= {(x, y): (2 * x + 5, 2 * y + 5) for x in range(11) for y in range(11) if x + y <= 10}
+    assert moved == wanted
+    assert terrain.triangle_warp(grid, t.limit(0)).count() == 0
     b = spark.createDataFrame([(1, 0.5), (1, 0.1), (1, 0.9)], "label int, h double")
     assert terrain.surface_reference(b).first()["surface"] == pytest.approx(0.5, abs=0.003)
 
 
+def test_term_counts(spark):
+    docs = spark.createDataFrame([(1, "Été ete b"), (2, "b b"), (3, None), (4, ""), (5, "b B 数字 x_y")], "id int, text string")
+    found = {tuple(r) for r in search.term_counts(docs, "text").collect()}
+    assert found == {("ete", 1, 2), ("b", 3, 5), ("数字", 1, 1), ("x", 1, 1), ("y", 1, 1)}
+    rows = search.inverted_index(docs, "id", "text").collect()
+    assert found == {(w, sum(r.term == w for r in rows), sum(r.tf for r in rows if r.term == w)) for w in {r.term for r in rows}}
+
+
 def test_rules(spark):
     text = "a.1 = {\n trigger = { add_gold = 5 every_child = { any_ally = { random_x = { } } } }\n immediate = { has_trait = x }\n else = { }\n}\nfx = { fx = yes if = { } else = { } }"
     nodes = script.read_nodes(spark.createDataFrame([(1, text)], "file_id long, text string"))
