@@ -241,11 +241,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["u", "v"])
 
 
-def _others(first: DataFrame, dealt: DataFrame, more: DataFrame, group: DataFrame, full: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(u, v): what the documents in more (_id, asked) link to besides their group. Their shards get full sets."""
-    bands = dealt.join(small(more, 500_000), "_id").select("band").distinct()
-    open_ = cut(dealt.join(small(cut(bands), 500_000), "band", "left_semi").select("band", "_id"))
-    ids = cut(open_.select("_id").distinct())
+def _others(first: DataFrame, places: DataFrame, more: DataFrame, group: DataFrame, full: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v): what the documents in more (_id, asked) link to besides their group. Their shards, of places (band, _id), get full sets."""
+    bands = places.join(small(more, 500_000), "_id").select("band").distinct()
+    open_ = cut(places.join(small(cut(bands), 500_000), "band", "left_semi"))
+    ids = small(cut(open_.select("_id").distinct()), 500_000)
     named = ids.join(first.select("_id", "fp", "sketch", "bands"), "_id").join(group, F.col("_id") == F.col("vertex"), "left").join(more, "_id", "left")
     known = named.select("_id", "fp", "sketch", F.coalesce("component", "_id").alias("group"), F.coalesce("asked", F.lit(False)).alias("asked"), "bands")
     ready = open_.join(known.join(full(ids).withColumnRenamed("id", "_id"), "_id"), "_id").select("band", "_id", "fp", "sketch", "group", "asked", "bands", "set")
@@ -267,7 +267,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = cut(first.select("digest", F.monotonically_increasing_id().alias("_id"), F.col("s._id").alias("_doc"), "s.fp", "s.bands", "s.sketch"))
     keys = first.where(F.col("digest") != F.lit("null").cast("binary")).select(F.explode("bands").alias("band"), "_id")
     shared = keys.groupBy("band").count().where("count > 1").select("band")
-    dealt = keys.join(shared, "band", "left_semi").join(first.select("_id", "fp", "sketch"), "_id").select("band", "_id", "fp", "sketch")
+    places = cut(keys.join(shared, "band", "left_semi"))
+    dealt = places.join(first.select("_id", "fp", "sketch"), "_id").select("band", "_id", "fp", "sketch")
     found = cut(dealt.repartition("band").sortWithinPartitions("band").mapInArrow(functools.partial(_shards, work=_pairs, names=["u", "v", "kind"]), "u long, v long, kind long"))
     more = found.where(F.col("kind") == MORE).select(F.col("u").alias("_id")).distinct()
     found = cut(found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("kind").alias("kind")))
@@ -284,7 +285,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = components(links)
     more = cut(more.withColumn("asked", F.lit(True)))
     if not more.isEmpty():
-        links = links.union(cut(_others(first, dealt, more, group, full)))
+        links = links.union(cut(_others(first, places, more, group, full)))
         group = components(links)
     of = first.join(group, F.col("_id") == F.col("vertex"), "left").select("digest", "_doc", F.coalesce("component", "_id").alias("_group"))
     least = of.groupBy("_group").agg(F.min(F.struct("_doc", "digest")).alias("s")).select("_group", F.col("s._doc").alias("_kept"), F.col("s.digest").alias("_stays"))

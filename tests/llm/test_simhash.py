@@ -183,3 +183,24 @@ def test_partners_beyond_the_named(spark):
     want = set(grouped(sets, lambda a, b: a[0] == b[0] and 9 * len(a[1] & b[1]) >= 4 * (len(a[1]) + len(b[1]))))
     kept = {r.doc_id for r in similar.dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()}
     assert len(want) < len(docs) and kept == want
+
+
+def test_second_pass_shuffles_open_shards_only(spark, monkeypatch):
+    """A family that needs the second pass costs its own shuffles, whatever the number of other documents."""
+    rng = random.Random(8)
+    base = [f"b{rng.getrandbits(40)}" for _ in range(104)]
+    docs = [replaced(rng, base, (rng.randrange(10, 90), 8)) for _ in range(30)]
+    docs += [[f"b{rng.getrandbits(40)}" for _ in range(300)] for _ in range(3_000)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    others, seen = similar._others, []
+
+    def measured(*args):
+        before = written()
+        out = similar.cut(others(*args))
+        seen.append(written() - before)
+        return out
+
+    monkeypatch.setattr(similar, "_others", measured)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    assert similar.dedup(df).count() >= 3_000
+    assert 0 < seen[0] < 1_000_000
