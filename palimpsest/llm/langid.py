@@ -128,7 +128,7 @@ def score_texts(col: pa.Array, profiles: dict[str, np.ndarray], mine: int = MINE
         dist = []
         for sorted_grams, rank in order:
             j = np.minimum(np.searchsorted(sorted_grams, t), len(sorted_grams) - 1)
-            dist.append(int(np.where(sorted_grams[j] == t, np.abs(rank[j] - at), most).sum()))
+            dist.append(int(np.where(sorted_grams[j] == t, np.minimum(np.abs(rank[j] - at), most), most).sum()))
         best = int(np.argmin(dist))
         second = min((d for k, d in enumerate(dist) if k != best), default=most * len(t))
         langs[i] = names[best]

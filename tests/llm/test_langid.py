@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -78,3 +79,13 @@ def test_against_the_definition(spark, small):
     got = {r.doc_id: (r.lang_pred, r.score, r.held_out) for r in langid.op5_language_id(spark, small).collect()}
     for r, (lang, score) in zip(rows, want, strict=True):
         assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - score) < 1e-9 and got[r.doc_id][2] == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_profiles_shorter_than_the_text():
+    """A rank far beyond a short profile costs no more than an unknown n-gram: scores stay from 0 to 1."""
+    profile = lambda text: langid.top(langid.grams(langid.folded(text.encode())), langid.PROFILE)
+    rng = random.Random(1)
+    long = " ".join("".join(rng.choice("bcdefghijklmnop") for _ in range(6)) for _ in range(300)) + " a ab"
+    for profiles in ({"en": profile("ab")}, {"en": profile("ab"), "fr": profile("abz")}):
+        langs, scores = langid.score_texts(pa.array([long, "ab", None]), profiles)
+        assert langs == ["en", "en", "und"] and 0 <= scores[0] < scores[1] == 1 and scores[2] == 0
