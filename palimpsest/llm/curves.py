@@ -3,7 +3,8 @@
 Vectors are projected at random onto a few axes, shifted, and ordered by Hilbert key, once for each curve. Spark sorts
 (curve, key) by range, which gives every row its rank on every curve; a query meets the rows within `window` ranks of
 its own on each. Not the vectors are sorted but codes of them, one byte an axis; the best by code merge over the curves
-and are ranked by exact Euclidean distance in double precision.
+and are ranked by exact Euclidean distance in double precision. Where bytes are too coarse (tight clusters, norms of many sizes), as measured by the same
+probes as the window, and in tables that are searched whole, the codes are the vectors themselves, from the middle.
 
 The window is a number of rows, found by measuring: the true neighbours of PROBES rows are computed against all rows, and
 the window is the least that would find TARGET of them. Clustered vectors get short windows whatever the table's size;
@@ -32,6 +33,8 @@ from .core import cut
 CURVES, AXES, BITS, SAMPLE = 32, 8, 6, 10_000
 PROBES, TARGET, EXACT = 100, 0.95, 1_000
 CODE, KEEP, BLOCK = 64, 5, 4_096
+#: What part of the probes' neighbours must be among the 2 * k nearest by bytes; and how many times the median distance from the middle a sample's vector may be.
+KNOWN, STRAY = 0.98, 10
 _ROW = (1 << 33) - 1
 
 
@@ -70,10 +73,15 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 class _Space:
-    """How vectors become keys and codes; fitted on a bounded sample."""
+    """How vectors become keys and codes; fitted on a bounded sample without strays, which would set the scale for all others. whole: codes are the vectors, from the centre."""
 
     def __init__(self, sample: np.ndarray, curves: int) -> None:
-        dim = sample.shape[1]
+        dim, self.whole = sample.shape[1], False
+        with np.errstate(over="ignore"):
+            far = np.sqrt(((sample - np.median(sample, 0)) ** 2).sum(1))
+        if usual := np.median(far):
+            sample = sample[far <= STRAY * usual]
+        self.centre = np.median(sample, 0)
         self.frames = _frames(dim, curves, AXES)
         shown = np.einsum("nd,cda->cna", sample, self.frames)
         self.mean, self.std = shown.mean(1), shown.std(1) + 1e-12
@@ -91,6 +99,9 @@ class _Space:
         return out
 
     def codes(self, x: np.ndarray) -> np.ndarray:
+        """Bytes of each vector, a row each."""
+        if self.whole:
+            return np.ascontiguousarray(x - self.centre, "<f8").view(np.int8)
         return np.clip(np.rint((x @ self.turn - self.middle) * self.scale), -127, 127).astype(np.int8)
 
 
@@ -120,22 +131,24 @@ def _best(d: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
 
 
-def _probed(batches: Iterator[pa.RecordBatch], ids: np.ndarray, probes: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """(probe, id, d): the nearest rows of this task to each probe."""
-    near, far = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+def _probed(batches: Iterator[pa.RecordBatch], ids: np.ndarray, probes: np.ndarray, k: int, space: _Space) -> Iterator[pa.RecordBatch]:
+    """(probe, by, id, d): the k rows of this task nearest to each probe, by vector (by is 0), and 2 * k by code (1)."""
+    found = [(np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0)))] * 2
+    codes = space.codes(probes).astype(np.float32)
     for b in batches:
         for at in range(0, b.num_rows, 2_000):
             own, x = b.column(0)[at : at + 2_000].to_numpy(), _matrix(b.column(1)[at : at + 2_000])
-            d = _square(x, probes)
-            d[own[None] == ids[:, None]] = np.inf
-            near, far = np.hstack((near, np.broadcast_to(own, d.shape))), np.hstack((far, d))
-            best = _best(far, k)
-            near, far = np.take_along_axis(near, best, 1), np.take_along_axis(far, best, 1)
-    keep = np.isfinite(far)
-    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], near.shape)[keep]), pa.array(near[keep]), pa.array(far[keep])], ["_probe", "_id", "_d"])
+            for by, d in enumerate((_square(x - space.centre, probes - space.centre), _square(space.codes(x).astype(np.float32), codes))):
+                d[own[None] == ids[:, None]] = np.inf
+                near, far = (np.hstack(x) for x in zip(found[by], (np.broadcast_to(own, d.shape), d), strict=True))
+                best = _best(far, (1 + by) * k)
+                found[by] = np.take_along_axis(near, best, 1), np.take_along_axis(far, best, 1)
+    for by, (near, far) in enumerate(found):
+        keep = np.isfinite(far)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], near.shape)[keep]), pa.array(np.full(keep.sum(), by, np.int32)), pa.array(near[keep]), pa.array(far[keep].astype(np.float64))], ["_probe", "_by", "_id", "_d"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], n: int, window: int, keep: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], n: int, window: int, keep: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """From rows (block, ask, rank, _id, _code) sorted by block and ask: (query_id, vec_id, d) of the rows within the window that are nearest by code."""
     block, rows, held = None, [], None
     for b in batches:
@@ -145,7 +158,8 @@ def _meet(batches: Iterator[pa.RecordBatch], n: int, window: int, keep: int) ->
             if of[s] != block:
                 block, rows, held = of[s], [], None
             part = b.slice(s, e - s)
-            here = [part.column(i).to_numpy() for i in (2, 3)] + [np.frombuffer(b"".join(part.column(4).to_pylist()), np.int8).reshape(e - s, -1).astype(np.float32)]
+            code = np.frombuffer(b"".join(part.column(4).to_pylist()), "<f8" if whole else np.int8).reshape(e - s, -1)
+            here = [part.column(i).to_numpy() for i in (2, 3)] + [code if whole else code.astype(np.float32)]
             if not ask[s]:
                 rows.append(here)
                 continue
@@ -185,16 +199,22 @@ def _ranked(index: DataFrame, space: _Space) -> DataFrame:
     return rows.join(F.broadcast(starts), part == F.col("_part")).select("_id", "_query", "_row", "_code", (F.col("_start") + F.col("_m").bitwiseAND(F.lit(_ROW))).alias("rank"))
 
 
-def fit_window(index: DataFrame, ranked: DataFrame, n: int, k: int, target: float = TARGET) -> int:
-    """The least window of 4 * k or more that finds the target share of the true neighbours of PROBES rows."""
+def probe(index: DataFrame, space: _Space, k: int) -> tuple[list[tuple[int, int]], float]:
+    """(probe, id) of the true neighbours of PROBES rows, and the part of them that is among the 2 * k nearest by code."""
     probes = index.orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(PROBES).select("_id", "_vec").collect()
     ids, x = np.array([r[0] for r in probes]), np.array([r[1] for r in probes], np.float64)
-    order = Window.partitionBy("_probe").orderBy("_d", "_id")
-    near = index.where("_row").select("_id", "_vec").mapInArrow(functools.partial(_probed, ids=ids, probes=x, k=k), "_probe long, _id long, _d double")
-    true = [(r[0], r[1]) for r in near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).collect()]
+    order = Window.partitionBy("_probe", "_by").orderBy("_d", "_id")
+    near = index.where("_row").select("_id", "_vec").mapInArrow(functools.partial(_probed, ids=ids, probes=x, k=k, space=space), "_probe long, _by int, _id long, _d double")
+    found = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= (F.col("_by") + 1) * k).select("_by", "_probe", "_id").collect()
+    true, coded = ([(r[1], r[2]) for r in found if r[0] == by] for by in (0, 1))
+    return true, len({*true} & {*coded}) / max(1, len({*true}))
+
+
+def fit_window(ranked: DataFrame, true: list[tuple[int, int]], n: int, k: int, target: float = TARGET) -> int:
+    """The least window of 4 * k or more that finds the target share of the true neighbours (probe, id)."""
     if not true:
         return n
-    wanted = index.sparkSession.createDataFrame([(i,) for i in sorted({i for p in true for i in p})], "_id long")
+    wanted = ranked.sparkSession.createDataFrame([(i,) for i in sorted({i for p in true for i in p})], "_id long")
     rank: dict[int, dict[int, list[int]]] = {}
     for r in ranked.join(F.broadcast(wanted), "_id").select("_id", "rank").collect():
         rank.setdefault(r[0], {}).setdefault(r[1] // n, []).append(r[1])
@@ -216,17 +236,20 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     index = cut(lead.union(asks))
     n = index.count()
     sample = np.array([r[0] for r in index.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).select("_vec").collect()], np.float64)
-    ranked = _ranked(index, _Space(sample, curves if n > EXACT else 1))
+    space = _Space(sample, curves if n > EXACT else 1)
+    true, known = probe(index, space, k) if n > EXACT else ([], 0.0)
+    space.whole = known < KNOWN
+    ranked = _ranked(index, space)
     if n <= EXACT:
         window = n
     elif window is None:
-        window = fit_window(index, ranked, n, k, target)
+        window = fit_window(ranked, true, n, k, target)
     size = min(max(window, 256), BLOCK)
     low, high = F.expr(f"rank div {n} * {n}"), F.expr(f"(rank div {n} + 1) * {n} - 1")
     rows = ranked.where("_row").select(F.expr(f"rank div {size}").alias("block"), F.lit(0).alias("ask"), "rank", "_id", "_code")
     reach = F.sequence(F.floor(F.greatest(low, F.col("rank") - window) / size), F.floor(F.least(high, F.col("rank") + window) / size))
     ask = ranked.where("_query").select(F.explode(reach).alias("block"), F.lit(1).alias("ask"), "rank", "_id", "_code")
-    met = rows.union(ask).repartition("block").sortWithinPartitions("block", "ask").mapInArrow(functools.partial(_meet, n=n, window=window, keep=2 * k), "query_id long, vec_id long, d double")
+    met = rows.union(ask).repartition("block").sortWithinPartitions("block", "ask").mapInArrow(functools.partial(_meet, n=n, window=window, keep=2 * k, whole=space.whole), "query_id long, vec_id long, d double")
     close = met.groupBy("query_id", "vec_id").agg(F.min("d").alias("d"))
     close = close.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("r") <= KEEP * k).select("query_id", "vec_id")
     x = index.where("_query").select(F.col("_id").alias("query_id"), F.col("_vec").alias("x"))

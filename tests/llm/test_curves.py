@@ -75,3 +75,22 @@ def test_windows_follow_the_structure(spark):
     assert 2 * seen[0] * curves.CURVES < 0.6 * len(x)
     want = brute(np.arange(len(x)), x, range(0, len(x), 100), 10)
     assert np.mean([len(got[q] & {a for a, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+@pytest.mark.parametrize("shape", ["stray of a small table", "stray", "tight clusters", "two scales"])
+def test_recall_whatever_the_scale(spark, shape):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900 if "small" in shape else 4000, 24))
+    if "stray" in shape:
+        x[7] = np.arange(24) == 3
+        x[7] *= 1e30
+    elif shape == "two scales":
+        x[::2] *= 1e6
+    else:
+        x = x * 0.001 + rng.normal(size=(10, 24))[rng.integers(0, 10, len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in curves.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(np.arange(len(x)), x, range(0, len(x), 100), 10)
+    assert np.mean([len(got[q] & {a for a, _ in want[q]}) / 10 for q in want]) >= 0.9
