@@ -35,6 +35,8 @@ PROBES, TARGET, EXACT = 100, 0.95, 1_000
 CODE, KEEP, BLOCK = 64, 5, 4_096
 #: What part of the probes' neighbours must be among the 2 * k nearest by bytes; and how many times the median distance from the middle a sample's vector may be.
 KNOWN, STRAY = 0.98, 10
+#: By what part squared distances of the same value may differ through rounding.
+TIE = 1e-9
 _ROW = (1 << 33) - 1
 
 
@@ -131,6 +133,20 @@ def _best(d: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
 
 
+def _least(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of each line's k smallest, of those that tie (but for rounding) the ones of least id."""
+    best = _best(d, k)
+    if d.shape[1] <= k:
+        return best
+    edge = np.take_along_axis(d, best, 1).max(1)
+    edge[~np.isfinite(edge)] = -np.inf
+    high = edge * (1 + TIE)
+    for i in np.flatnonzero((d <= high[:, None]).sum(1) > k).tolist():
+        near = np.flatnonzero(d[i] <= high[i])
+        best[i] = near[np.lexsort((ids[near], d[i, near] >= edge[i] * (1 - TIE)))][:k]
+    return best
+
+
 def _probed(batches: Iterator[pa.RecordBatch], ids: np.ndarray, probes: np.ndarray, k: int, space: _Space) -> Iterator[pa.RecordBatch]:
     """(probe, by, id, d): the k rows of this task nearest to each probe, by vector (by is 0), and 2 * k by code (1)."""
     found = [(np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0)))] * 2
@@ -148,6 +164,12 @@ def _probed(batches: Iterator[pa.RecordBatch], ids: np.ndarray, probes: np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], near.shape)[keep]), pa.array(np.full(keep.sum(), by, np.int32)), pa.array(near[keep]), pa.array(far[keep].astype(np.float64))], ["_probe", "_by", "_id", "_d"])
 
 
+def _rounded(d: np.ndarray) -> np.ndarray:
+    """Squared distances to 36 bits, so that equal ones rank by id."""
+    part, power = np.frexp(np.maximum(d.astype(np.float64), 0))
+    return np.ldexp(np.rint(np.ldexp(part, 36)), power - 36)
+
+
 def _meet(batches: Iterator[pa.RecordBatch], n: int, window: int, keep: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """From rows (block, ask, rank, _id, _code) sorted by block and ask: (query_id, vec_id, d) of the rows within the window that are nearest by code."""
     block, rows, held = None, [], None
@@ -170,10 +192,10 @@ def _meet(batches: Iterator[pa.RecordBatch], n: int, window: int, keep: int, who
                 rank, own, y = (x[at : at + 256] for x in here)
                 d = _square(held[2], y)
                 d[(np.abs(held[0][None] - rank[:, None]) > window) | (held[0][None] // n != rank[:, None] // n) | (held[1][None] == own[:, None])] = np.inf
-                best = _best(d, keep)
+                best = _least(d, held[1], keep)
                 far = np.take_along_axis(d, best, 1)
                 ok = np.isfinite(far)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(own[:, None], best.shape)[ok]), pa.array(held[1][best][ok]), pa.array(far[ok].astype(np.float64))], ["query_id", "vec_id", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(own[:, None], best.shape)[ok]), pa.array(held[1][best][ok]), pa.array(_rounded(far[ok]))], ["query_id", "vec_id", "d"])
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,3 +94,13 @@ def test_recall_whatever_the_scale(spark, shape):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = brute(np.arange(len(x)), x, range(0, len(x), 100), 10)
     assert np.mean([len(got[q] & {a for a, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_ties_of_many_vectors(spark):
+    """In a table that is searched whole, the least ids of those at the tenth distance are returned."""
+    x = np.random.default_rng(6).integers(0, 2, (900, 16)) + 1.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in curves.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute(np.arange(900), x, range(0, 900, 100), 10)
